@@ -6,26 +6,85 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe_codec, exact_dedup
+from . import ann, bpe_codec, exact_dedup, lang_id, line_dedup, mixing, quality, secrets, simhash, token_store
 from .common import table
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lang_id.predict(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"))
+
+
+def op3_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_store.token_store(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def op4_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     return bpe_codec.encode_digests(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN)
 
 
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.line_dedup(table(spark, sf_dir, "documents"))
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.find_secrets(table(spark, sf_dir, "documents"))
+
+
+def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_dedup(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_language_id": op1_language_id,
+    "op2_mixing": op2_mixing,
+    "op3_token_store": op3_token_store,
+    "op4_nearest_neighbours": op4_nearest_neighbours,
+    "op5_quality": op5_quality,
     "op6_byte_bpe": op6_byte_bpe,
+    "op7_line_dedup": op7_line_dedup,
     "op8_exact_dedup": op8_exact_dedup,
+    "op9_secrets": op9_secrets,
+    "op10_simhash": op10_simhash,
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op7_line_dedup": r"""
+        WITH lines AS (
+          SELECT doc_id, u.pos, u.line, lower_key.k
+          FROM (SELECT doc_id, unnest(list_zip(string_split(coalesce(text, ''), chr(10)),
+                                      range(len(string_split(coalesce(text, ''), chr(10)))))) AS z FROM documents),
+               LATERAL (SELECT z[1] AS line, z[2] AS pos) u,
+               LATERAL (SELECT translate(regexp_replace(u.line, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g'),
+                                         'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS k) lower_key),
+        frequent AS (
+          SELECT k, max(doc_id) AS last_doc FROM lines WHERE length(k) >= 40
+          GROUP BY k HAVING count(DISTINCT doc_id) >= 5),
+        marked AS (
+          SELECT l.doc_id, l.pos, l.line, f.k IS NOT NULL AND l.doc_id <> f.last_doc AS dropped
+          FROM lines l LEFT JOIN frequent f ON l.k = f.k)
+        SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE dropped) AS n_dropped,
+               sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT dropped), '')) AS kept_sha256
+        FROM marked GROUP BY doc_id
+    """,
     "op8_exact_dedup": r"""
         WITH d AS (
           SELECT doc_id, coalesce(text, '') AS t,
