@@ -128,8 +128,11 @@ def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 
 def _with_kept(docs: DataFrame, id_col: str, text_col: str, dropped: DataFrame) -> DataFrame:
-    """docs with __lines (before) and __kept (after); the join is on id and text hash."""
-    dropped = dropped.select(F.col("doc_id").alias("__id"), F.col("tie").alias("__tie"), F.col("dropped").alias("__dropped"))
+    """docs with __lines (before) and __kept (after); the join is on id and text hash.
+
+    Always a merge join: what is dropped grows with the input, so a broadcast that fits small
+    inputs would only hide what the join costs on large ones."""
+    dropped = dropped.hint("merge").select(F.col("doc_id").alias("__id"), F.col("tie").alias("__tie"), F.col("dropped").alias("__dropped"))
     joined = docs.join(dropped, docs[id_col].cast("long").eqNullSafe(dropped["__id"]) & F.xxhash64(docs[text_col]).eqNullSafe(dropped["__tie"]), "left")
     lines = F.split(F.coalesce(docs[text_col], F.lit("")), "\n", -1)
     gone = F.coalesce(F.col("__dropped"), F.array().cast("array<int>"))
