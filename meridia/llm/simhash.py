@@ -149,7 +149,8 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     labelled = near_dedup(docs, id_col, text_col, words, max_bits)
     keep = materialize(labelled.select(F.col("component_id").alias("__keep")).filter("__keep IS NOT NULL").distinct(), "kept-ids")
     bare = labelled.filter("component_id IS NULL").limit(1).count() > 0
-    kept = docs.join(keep, docs[id_col].cast("long") == keep["__keep"], "left_semi").dropDuplicates([id_col])
+    # Always a merge join: the kept ids grow with the input.
+    kept = docs.join(keep.hint("merge"), docs[id_col].cast("long") == keep["__keep"], "left_semi").dropDuplicates([id_col])
     if bare:
         kept = kept.unionByName(docs.filter(docs[id_col].isNull()))
     return kept
