@@ -41,7 +41,7 @@ def pieces(text: str, size: int = PIECE_CHARS) -> Iterator[str]:
     """The text in pieces of at least ``size`` characters, cut at safe boundaries."""
     at = 0
     while len(text) - at > size:
-        cut = _SAFE.search(text, at + size)
+        cut = _SAFE.search(text, at + max(1, size))
         if not cut:
             break
         yield text[at : cut.start()]
