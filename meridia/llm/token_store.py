@@ -26,6 +26,7 @@ from __future__ import annotations
 
 import functools
 import re
+import struct
 import zlib
 
 import numpy as np
@@ -39,7 +40,7 @@ SAMPLE = 256
 #: A block is closed when it holds this many ids.
 BLOCK_IDS = 1 << 20
 #: Entries of the worker's cache of encoded chunks, and the longest chunk that it keeps.
-CACHE_ENTRIES, CACHE_CHARS = 400_000, 64
+CACHE_ENTRIES, CACHE_CHARS = 700_000, 64
 BLOCK_SCHEMA = (
     "shard int, block int, base long, n_docs int, n_ids long, doc_ids array<long>, width int, ids binary, "
     "low_bits int, low binary, high binary, samples binary"
@@ -100,17 +101,25 @@ class EliasFano:
         return (upper << self.low_bits) + bits.astype(np.int64) @ (1 << np.arange(self.low_bits, dtype=np.int64))
 
 
-_ODD_SPACE = re.compile(r"\s\s|\A\s|\s\Z|[^\S \n]")
+#: White space other than space and line feed.
+_OTHER_SPACE = [chr(c) for c in range(0x3001) if chr(c).isspace() and chr(c) not in " \n"]
+_PAIRS = ("  ", " \n", "\n ", "\n\n")
 _SAFE = re.compile(r"(?<=\S)(?= )")
+_STOP = re.compile(r"(?<=[^\W_])([.,])")
+#: The printable character that stands for each byte in a byte-level vocabulary.
+_BYTES = {b: chr(b) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174 else None for b in range(256)}
+_BYTES |= {b: chr(256 + i) for i, b in enumerate(b for b, c in _BYTES.items() if c is None)}
 
 
 class ChunkEncoder:
     """Encodes texts chunk by chunk, with a bounded cache of encoded chunks.
 
-    Chunks end before a space that follows a character other than white space, and on
-    both sides of a line feed between two such characters: the pre-splitting pattern of
-    byte-level BPE always has a boundary there, so the chunks' ids, end to end, are those of
-    the whole text. Words repeat far more often than they are new."""
+    Chunks end before a space that follows a character other than white space, on both
+    sides of a line feed between two such characters, and before a full stop or comma that
+    follows a letter or digit: the pre-splitting pattern of byte-level BPE always has a boundary
+    there, so the chunks' ids, end to end, are those of the whole text. Words repeat far more
+    often than they are new; a new one that is a single match of the pattern goes to the
+    library's merges straight away, without the steps around them."""
 
     def __init__(self, tokenizer_file: str):
         from tokenizers import Tokenizer
@@ -118,20 +127,32 @@ class ChunkEncoder:
         self.tokenizer = Tokenizer.from_file(tokenizer_file)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
+        self.code = "H" if self.dtype.itemsize == 2 else "I"
         self.cache: dict[str, bytes] = {}
-        self.newline = self._encode(["\n"])[0]
 
     def _encode(self, chunks: list[str]) -> list[bytes]:
-        found = self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False)
-        return [np.array(x.ids, self.dtype).tobytes() for x in found]
+        out: list[bytes] = [b""] * len(chunks)
+        mixed = []
+        merges = self.tokenizer.model.tokenize
+        for i, c in enumerate(chunks):
+            if c.isalpha() or c[:1] == " " and c[1:].isalpha():
+                symbols = c.encode().decode("latin-1").translate(_BYTES)
+                out[i] = struct.pack(f"<{self.code * len(ids)}", *ids) if (ids := [x.id for x in merges(symbols)]) else b""
+            else:
+                mixed.append(i)
+        if mixed:
+            for i, x in zip(mixed, self.tokenizer.encode_batch_fast([chunks[i] for i in mixed], add_special_tokens=False)):
+                out[i] = np.array(x.ids, self.dtype).tobytes()
+        return out
 
     @staticmethod
     def chunks(text: str) -> list[str]:
         if not text:
             return []
-        if _ODD_SPACE.search(text):
+        holds = text.__contains__
+        if holds("\x00") or text[0] in " \n" or text[-1] in " \n" or any(map(holds, _PAIRS)) or any(map(holds, _OTHER_SPACE)):
             return _SAFE.split(text)
-        return text.replace(" ", "\x00 ").replace("\n", "\x00\n\x00").split("\x00") if "\x00" not in text else _SAFE.split(text)
+        return _STOP.sub("\x00\\1", text).replace(" ", "\x00 ").replace("\n", "\x00\n\x00").split("\x00")
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         cut = [self.chunks(t or "") for t in texts]
