@@ -131,7 +131,8 @@ def mix_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     targets = materialize(source_targets(sizes, max_epochs), "targets").withColumnRenamed("source", "s")
     placed = prefix_sums(sizes)
     plan = placed.join(targets, placed["source"].eqNullSafe(targets["s"])).withColumn("budget", F.round("target").cast("long"))
-    inside = F.expr("source_size > 0 AND 2 * prefix + size <= 2 * (budget % source_size) AND budget % source_size > 0")
+    left = F.expr("if(source_size = 0, 0, budget % source_size)")
+    inside = (left > 0) & (2 * F.col("prefix") + F.col("size") <= 2 * left)
     cuts = plan.groupBy(F.col("source").alias("s")).agg(
         F.max(F.expr("if(source_size = 0, 0, budget div source_size)")).alias("epochs"),
         F.max(F.when(inside, F.struct("key", "doc_id"))).alias("last"),

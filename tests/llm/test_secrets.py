@@ -1,0 +1,52 @@
+import hashlib
+import re
+
+from meridia.llm import secrets
+
+from .conftest import SCHEMA, as_dict
+
+ASSIGN = re.compile(r"""(?P<k>[pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])["']?\x20*[:=]\x20*["']?(?P<v>[A-Za-z0-9+/_.=-]+)""")
+
+
+def brute(text):
+    found = []
+    for m in ASSIGN.finditer(text):
+        if len(m["v"]) >= 8:
+            found.append((m.start(), 0, m.end()))
+    for no, pattern, least in ((1, "AKIA[A-Z0-9]+", 16), (2, "[0-9a-f]+", 32)):
+        found += [(m.start(), no, m.end()) for m in re.finditer(pattern, text) if len(m[0]) >= least]
+    return sorted(found)
+
+
+def shown(found):
+    return ",".join(f"{('assign', 'access', 'hex', 'token')[k]}:{a}:{b}" for a, k, b in found)
+
+
+def test_base_agrees_with_brute_force(docs, clashing, rows):
+    for df in (docs, clashing):
+        got = as_dict(secrets.find_secrets(df))
+        assert len(got) == len(rows)
+        hits = 0
+        for i, t, *_ in rows:
+            want = brute(t or "")
+            hits += len(want)
+            r = got[i]
+            assert [r["n_assign"], r["n_access"], r["n_hex"]] == [sum(k == n for _, k, _ in want) for n in range(3)]
+            assert r["base_sha256"] == hashlib.sha256(shown(want).encode()).hexdigest()
+            spans = r["spans"].split(",") if r["spans"] else []
+            assert set(shown(want).split(",")) - {""} <= set(spans)
+        assert hits >= 6
+
+
+def test_ownership_separates_examples_from_live_values(spark):
+    example, live = "Abcdefgh12345678ijklmnop", "Zyxwvut98765432SRQPonml"
+    rows = [(i, f"see {example} here", None, f"owner{i % 5}", 0) for i in range(20)] + [(50, f"é {live} 'x'", None, "owner1", 0), (51, f"token={live}", None, "owner1", 0), (52, "password=examplepass1", None, None, 0)]
+    rows += [(60 + i, "password=examplepass1", None, f"o{i}", 0) for i in range(4)]
+    got = as_dict(secrets.find_secrets(spark.createDataFrame(rows, SCHEMA).repartition(3)))
+    assert got[0]["spans"] == "" and got[50]["spans"] == f"token:2:{2 + len(live)}"
+    assert got[51]["spans"] == f"assign:0:{6 + len(live)}" and got[51]["n_live"] == 1
+    assert got[52]["n_copied"] == 1 and got[52]["n_live"] == 0 and got[52]["n_assign"] == 1
+
+
+def test_secrets_empty_table(empty):
+    assert secrets.find_secrets(empty).count() == 0
