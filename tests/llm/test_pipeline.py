@@ -12,7 +12,7 @@ def test_run_is_its_stages(spark, tmp_path):
     rows, junk, odd, labels = quality_rows()
     line = "This very line stands in many documents, and it has over forty characters."
     rows = [(i, t + ("\n" + line if i % 4 == 0 else ""), lang, f"src{i % 3}", len(t)) for i, t, lang, *_ in rows]
-    copies = [(3000 + i, rows[i][1], "en", "src1", 0) for i in range(5)]
+    copies = [(3000 + i, rows[j][1], "en", "src1", 0) for i, j in enumerate((1, 2, 3, 5, 6))]
     docs = spark.createDataFrame(rows + junk + odd + copies, "doc_id long, text string, lang string, source string, n_chars long")
     docs.write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
