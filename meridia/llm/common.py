@@ -6,7 +6,7 @@ import atexit
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: White space in every text rule of this subpackage: space, tab, LF, VT, FF, CR.
@@ -92,3 +92,15 @@ def text_or_empty(col: str = "text"):
 def n_words(col):
     """Number of words; null counts as none."""
     return F.coalesce(F.regexp_count(col, F.lit(WORD_RE)), F.lit(0)).cast("long")
+
+
+def bounded_sample(rows: DataFrame, group: str, hashed: str, k: int) -> DataFrame:
+    """At most k rows of each group (null is one), those with the least of a column of hashes.
+
+    The group's count first gives a threshold that about 3 k rows pass, so that no task ranks
+    more than those, however large the group is."""
+    sizes = rows.groupBy(F.col(group).alias("__g")).agg(F.count(F.lit(1)).alias("__n"))
+    near = rows.join(sizes, F.col(group).eqNullSafe(F.col("__g")))
+    near = near.filter(F.col(hashed) / float(1 << 63) < 6.0 * k / F.col("__n") - 1).drop("__g", "__n")
+    rank = F.row_number().over(Window.partitionBy(group).orderBy(*[F.col(c) for c in dict.fromkeys([hashed, *rows.columns])]))
+    return near.withColumn("__rank", rank).filter(F.col("__rank") <= k).drop("__rank")

@@ -22,9 +22,11 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import bounded_sample
+
 #: Longest piece in characters, with the sign for a word's start.
 MAX_PIECE = 9
 #: Chance of a character that is no piece.
@@ -212,8 +214,7 @@ def sample_words(docs: DataFrame, id_col: str, text_col: str, lang_col: str, sam
     ids = docs.filter(docs[lang_col].isNotNull() & docs[text_col].isNotNull() & ~is_held_out(docs[id_col])).select(
         docs[lang_col].alias("lang"), docs[id_col].alias("id"), F.xxhash64(docs[id_col], F.lit(11)).alias("r")
     )
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy("r", "id"))
-    ids = ids.withColumn("rank", rank).filter(F.col("rank") <= sample_rows).select("id").distinct()
+    ids = bounded_sample(ids, "lang", "r", sample_rows).select("id").distinct()
     chosen = docs.join(F.broadcast(ids), docs[id_col].eqNullSafe(ids["id"]), "left_semi")  # sample_rows for each language
     chosen = chosen.filter(docs[lang_col].isNotNull()).select(docs[lang_col].alias("lang"), F.lower(docs[text_col]).alias("text"))
     word = F.explode(F.regexp_extract_all("text", F.lit(r"(\p{L}+)"), F.lit(0)))
