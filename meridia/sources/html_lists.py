@@ -125,7 +125,7 @@ def edition_year(heading: Column, label: Column, configured: Column) -> Column:
 def text_lines(pages: DataFrame, html: str = "html") -> DataFrame:
     """(page columns, pos, linha): the lines of the text that a page shows."""
     keep = [c for c in pages.columns if c != html]
-    plain = F.regexp_replace(F.regexp_replace(html, r"(?is)<(script|style)\b.*?</\1>", " "), r"(?i)<(br|/p|/div|/li|/h\d|/tr|/td)[^>]*>", "\n")
+    plain = F.regexp_replace(F.regexp_replace(html, r"(?is)<(script|style)\b.*?</\1>", " "), r"(?i)<(?:br|/?(?:p|div|li|ul|ol|h\d|tr|td|th|table|section))\b[^>]*>", "\n")
     plain = F.regexp_replace(plain, "<[^>]+>", " ")
     for entity, sign in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&amp;", "&")):
         plain = F.replace(plain, F.lit(entity), F.lit(sign))
@@ -168,7 +168,8 @@ def pdf_rows(words: DataFrame, heads: tuple[str, ...] = PDF_HEADS, medals: tuple
     head = folded.filter(F.col("w").isin(*heads)).groupBy("arquivo", "w").agg(F.min_by("x", "pagina").alias("x"), F.min_by("y", "pagina").alias("y"))
     centre = {h: F.max(F.when(F.col("w") == h, F.col("x"))).alias(f"c{i}") for i, h in enumerate(heads)}
     geometry = head.groupBy("arquivo").agg(*centre.values(), F.max("y").alias("head_y"))
-    body = folded.join(geometry, "arquivo").filter(~F.col("w").isin(*heads))
+    at_head = F.abs(F.col("y") - F.col("head_y")) < 1.5 * (F.col("ymax") - F.col("ymin"))
+    body = folded.join(geometry, "arquivo").filter(~(F.col("w").isin(*heads) & at_head))
     column = F.lit(0)
     for i in range(1, len(heads)):
         column = F.when(F.col("x") > (F.col(f"c{i - 1}") + F.col(f"c{i}")) / 2, i).otherwise(column)

@@ -18,7 +18,8 @@ def delimited(spark: SparkSession, path: str, sep: str = ";", encoding: str = "I
 
 def labelled_sample(spark: SparkSession, path: str) -> DataFrame:
     """All-text CSV in which blanks stay blank."""
-    return spark.read.csv(path, header=True, inferSchema=False, nullValue="\x00", emptyValue="")
+    rows = spark.read.csv(path, header=True, inferSchema=False)
+    return rows.select(*[F.coalesce(c, F.lit("")).alias(c) for c in rows.columns])
 
 
 def parquet(spark: SparkSession, *paths: str, columns: list[str] | None = None) -> DataFrame:
