@@ -165,7 +165,7 @@ def pdf_rows(words: DataFrame, heads: tuple[str, ...] = PDF_HEADS, medals: tuple
     that is nearest in height on its page. Pages have some hundred words, so the pairing within
     a page stays small; pages without heads use those of the file's first page."""
     folded = words.withColumns({"w": text.base_text(F.col("palavra")), "x": (F.col("xmin") + F.col("xmax")) / 2, "y": (F.col("ymin") + F.col("ymax")) / 2})
-    head = folded.filter(F.col("w").isin(*heads)).groupBy("arquivo", "w").agg(F.min_by("x", "pagina").alias("x"), F.min_by("y", "pagina").alias("y"))
+    head = folded.filter(F.col("w").isin(*heads)).groupBy("arquivo", "w").agg(F.min_by("x", F.struct("pagina", "y")).alias("x"), F.min_by("y", F.struct("pagina", "y")).alias("y"))
     centre = {h: F.max(F.when(F.col("w") == h, F.col("x"))).alias(f"c{i}") for i, h in enumerate(heads)}
     geometry = head.groupBy("arquivo").agg(*centre.values(), F.max("y").alias("head_y"))
     at_head = F.abs(F.col("y") - F.col("head_y")) < 1.5 * (F.col("ymax") - F.col("ymin"))

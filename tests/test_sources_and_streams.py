@@ -59,7 +59,7 @@ def test_html(spark):
     assert [(r.medalha, r.nome, r.uf) for r in board] == [("Ouro", "Bia", "SP"), ("Menção Honrosa", "Caio", "SP")]
     assert [(r.url, r.titulo) for r in html_lists.anchors(pages, pattern="^/m/").collect()] == [("/m/1.html", "Dois")]
     assert {r.page_id: r.valor for r in html_lists.label_value(html_lists.text_lines(pages), "page_id", "Cidade de Origem").collect()} == {1: "Lins - SP"}
-    assert [r.e for r in pages.orderBy("page_id").select(html_lists.legitimately_empty("html").alias("e")).collect()][3] is True
+    assert [r.e for r in pages.orderBy("page_id").select(html_lists.legitimately_empty(F.col("html")).alias("e")).collect()][3] is True
     assert pages.filter("page_id = 1").select(html_lists.row_count(F.col("html")).alias("n")).first().n == 6
     years = spark.createDataFrame([("Premiados 2023", "lista 2023", 2020), ("x", "lista 2021", 2020), ("x", "y", 2020)], "a string, b string, c int")
     assert [r.y for r in years.select(html_lists.edition_year(F.col("a"), F.col("b"), F.col("c")).alias("y")).collect()] == [2023, 2021, 2020]
