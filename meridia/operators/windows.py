@@ -23,23 +23,54 @@ def competition_rank(df: DataFrame, keys: list[str], value: str, out: str = "pos
     return df.withColumn(out, F.when(F.col(value).isNotNull(), F.rank().over(w)))
 
 
-def average_rank(value: str, keys: list[str] | None = None, descending: bool = False) -> Column:
-    """Rank with ties sharing their mean; null stays null and counts for nothing."""
-    part = [*(keys or []), F.col(value).isNull()]
+def average_rank(value: str, keys: list[str], descending: bool = False) -> Column:
+    """Rank within groups, ties sharing their mean; null stays null and counts for nothing. Whole tables: global_rank."""
+    part = [*keys, F.col(value).isNull()]
     col = F.col(value)
     first = F.rank().over(Window.partitionBy(*part).orderBy(col.desc() if descending else col))
     ties = F.count(F.lit(1)).over(Window.partitionBy(*part, col))
     return F.when(col.isNotNull(), first + (ties - 1) / 2)
 
 
-def percent_rank(value: str, keys: list[str] | None = None) -> Column:
+def percent_rank(value: str, keys: list[str]) -> Column:
     """Average rank over the number of values that are not null."""
-    total = F.count(value).over(Window.partitionBy(*(keys or [F.lit(0)])))
+    total = F.count(value).over(Window.partitionBy(*keys))
     return average_rank(value, keys) / total
 
 
-def min_max(value: str, keys: list[str] | None = None) -> Column:
-    w = Window.partitionBy(*(keys or [F.lit(0)]))
+def rank_table(df: DataFrame, value: str, out: str, descending: bool = False, percent: bool = False) -> DataFrame:
+    """Rows (__v, out): the average rank (or its share) of each distinct value, without one task for all rows.
+
+    Counts of distinct values are range-sorted; a value's rank is its partition's offset plus what
+    comes before it there. The counts are kept, as both readings must see the same partitions."""
+    order = F.col(value).desc() if descending else F.col(value).asc()
+    counts = df.filter(F.col(value).isNotNull()).groupBy(value).agg(F.count(F.lit(1)).alias("__c"))
+    placed = counts.repartitionByRange(order).sortWithinPartitions(order).withColumn("__p", F.spark_partition_id()).persist()
+    whole = Window.orderBy("__p")  # one row for each partition
+    sums = placed.groupBy("__p").agg(F.sum("__c").alias("__s"))
+    offsets = sums.select("__p", (F.sum("__s").over(whole.rowsBetween(Window.unboundedPreceding, 0)) - F.col("__s")).alias("__o"), F.sum("__s").over(whole.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("__all"))
+    upto = F.sum("__c").over(Window.partitionBy("__p").orderBy(order).rowsBetween(Window.unboundedPreceding, 0))
+    place = F.col("__o") + F.col("__upto") - (F.col("__c") - 1) / 2
+    return placed.withColumn("__upto", upto).join(offsets, "__p").select(F.col(value).alias("__v"), (place / F.col("__all") if percent else place).alias(out))
+
+
+def with_ranks(df: DataFrame, value: str, ranks: DataFrame) -> DataFrame:
+    return df.join(ranks, F.col(value) == F.col("__v"), "left").drop("__v")
+
+
+def global_rank(df: DataFrame, value: str, out: str, descending: bool = False, percent: bool = False) -> DataFrame:
+    """average_rank (or percent_rank) over a whole table."""
+    return with_ranks(df, value, rank_table(df, value, out, descending, percent))
+
+
+def global_min_max(df: DataFrame, value: str, out: str) -> DataFrame:
+    limits = df.agg(F.min(value).alias("__low"), F.max(value).alias("__high"))
+    scaled = F.try_divide(F.col(value) - F.col("__low"), F.col("__high") - F.col("__low"))
+    return df.crossJoin(F.broadcast(limits)).withColumn(out, scaled).drop("__low", "__high")
+
+
+def min_max(value: str, keys: list[str]) -> Column:
+    w = Window.partitionBy(*keys)
     low, high = F.min(value).over(w), F.max(value).over(w)
     return F.try_divide(F.col(value) - low, high - low)
 

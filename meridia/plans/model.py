@@ -30,11 +30,13 @@ def shrunk_mean(df: DataFrame, value: str, n: str, k: float = 30.0, out: str = "
 
 def components(df: DataFrame, talent: str, quality: list[str], income: str, rules: IndexRules = IndexRules(), how: str = "rank") -> DataFrame:
     """Component scores between 0 and 1; quality is the mean of its known parts, vulnerability falls with income."""
-    scale = windows.percent_rank if how == "rank" else windows.min_max
-    parts = df.withColumns({f"__q{i}": scale(q) for i, q in enumerate(quality)})
-    q = mean_of_known(*[F.col(f"__q{i}") for i in range(len(quality))])
-    out = parts.withColumns({"talent": scale(talent), "quality": q if rules.quality_sign > 0 else 1 - q, "vulnerability": 1 - scale(income)})
-    return out.drop(*[f"__q{i}" for i in range(len(quality))])
+    scaled = {talent: "talent", income: "__income"} | {q: f"__q{i}" for i, q in enumerate(quality)}
+    base = df
+    for value, out in scaled.items():  # every rank comes from the input itself, so the plan grows by one join each
+        df = windows.with_ranks(df, value, windows.rank_table(base, value, out, percent=True)) if how == "rank" else windows.global_min_max(df, value, out)
+    names = [f"__q{i}" for i in range(len(quality))]
+    q = mean_of_known(*map(F.col, names))
+    return df.withColumns({"quality": q if rules.quality_sign > 0 else 1 - q, "vulnerability": 1 - F.col("__income")}).drop(*names, "__income")
 
 
 def weighted_index(parts: dict[str, Column], weights: dict[str, Column], least: int) -> Column:
@@ -42,7 +44,7 @@ def weighted_index(parts: dict[str, Column], weights: dict[str, Column], least:
     known = sum((parts[c].isNotNull().cast("int") for c in parts), F.lit(0))
     total = sum((F.when(parts[c].isNotNull(), weights[c]).otherwise(0.0) for c in parts), F.lit(0.0))
     value = sum((F.coalesce(parts[c] * weights[c], F.lit(0.0)) for c in parts), F.lit(0.0))
-    return F.when(known >= least, F.try_divide(value, total))
+    return F.when(known >= least, F.round(F.try_divide(value, total), 12))  # weights that differ by a factor alone keep ties
 
 
 def composite_index(df: DataFrame, rules: IndexRules = IndexRules(), out: str = "indice") -> DataFrame:
@@ -66,24 +68,27 @@ def sensitivity(df: DataFrame, entity: str, rules: IndexRules = IndexRules(), to
     One pass: the scenarios (some thirty rows) are broadcast, ranks are windows by scenario."""
     spark = df.sparkSession
     table = F.broadcast(spark.createDataFrame(scenarios(rules), "cenario string, w0 double, w1 double, w2 double"))
-    base = composite_index(df, rules).filter("indice IS NOT NULL")
-    base = base.withColumns({"rank_base": windows.average_rank("indice", descending=True), "__place": F.row_number().over(Window.orderBy(F.desc("indice"), entity))})
+    base = composite_index(df, rules).filter("indice IS NOT NULL").persist()  # one row an entity, read by three branches
+    base = windows.global_rank(base, "indice", "rank_base", descending=True)
+    best = base.orderBy(F.desc("indice"), entity).limit(top).select(F.col(entity).alias("__e"), F.lit(True).alias("__top"))
+    base = base.join(F.broadcast(best), F.col(entity) == F.col("__e"), "left").drop("__e")  # ``top`` rows
     every = base.crossJoin(table)
     value = weighted_index({c: F.col(c) for c in COMPONENTS}, {c: F.col(f"w{i}") for i, c in enumerate(COMPONENTS)}, rules.min_components)
     every = every.withColumn("indice_c", value).withColumn("rank_c", windows.average_rank("indice_c", ["cenario"], True))
-    every = every.withColumn("__place_c", F.row_number().over(Window.partitionBy("cenario").orderBy(F.desc("indice_c"), entity)))
-    kept = F.count(F.when((F.col("__place") <= top) & (F.col("__place_c") <= top), 1))
+    every = every.withColumn("__place", F.row_number().over(Window.partitionBy("cenario").orderBy(F.desc("indice_c"), entity)))
+    kept = F.count(F.when(F.col("__top") & (F.col("__place") <= top), 1))
     return every.groupBy("cenario").agg(F.corr("rank_base", "rank_c").alias("spearman"), kept.alias("mantidos"), F.max(F.abs(F.col("rank_base") - F.col("rank_c"))).alias("maior_mudanca"))
 
 
 def spearman(df: DataFrame, a: str, b: str) -> DataFrame:
     both = df.filter(F.col(a).isNotNull() & F.col(b).isNotNull())
-    return both.withColumns({"__a": windows.average_rank(a), "__b": windows.average_rank(b)}).agg(F.corr("__a", "__b").alias("spearman"), F.count(F.lit(1)).alias("n"))
+    ranked = windows.with_ranks(windows.global_rank(both, a, "__a"), b, windows.rank_table(both, b, "__b"))
+    return ranked.agg(F.corr("__a", "__b").alias("spearman"), F.count(F.lit(1)).alias("n"))
 
 
 def kruskal_wallis(df: DataFrame, group: str, value: str) -> DataFrame:
     """H with tie correction and its chi-square tail; the ranks and sums are distributed, one row comes out."""
-    rows = df.filter(F.col(group).isNotNull() & F.col(value).isNotNull()).withColumn("__r", windows.average_rank(value))
+    rows = windows.global_rank(df.filter(F.col(group).isNotNull() & F.col(value).isNotNull()), value, "__r")
     sums = rows.groupBy(group).agg(F.sum("__r").alias("r"), F.count(F.lit(1)).alias("n"))
     ties = rows.groupBy(value).agg(F.count(F.lit(1)).cast("double").alias("t")).agg(F.sum(F.col("t") ** 3 - F.col("t")).alias("ties"))
     h = sums.agg(F.sum(F.col("r") ** 2 / F.col("n")).alias("s"), F.sum("n").cast("double").alias("n"), F.count(F.lit(1)).alias("k")).crossJoin(F.broadcast(ties))

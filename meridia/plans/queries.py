@@ -345,7 +345,7 @@ def latest_nonnull_per_column(spark, sf):
     SELECT v.p_partkey, round((a + (c - 1) / 2.0) / n, 8) AS percentil FROM v LEFT JOIN k USING (p_partkey)""")
 def percentile_rank_avg_ties(spark, sf):
     d = t(spark, sf, "part").select("p_partkey", F.when(F.col("p_size") > 3, F.col("p_size")).alias("s"))
-    return d.select("p_partkey", r(windows.percent_rank("s"), 8).alias("percentil"))
+    return windows.global_rank(d, "s", "percentil", percent=True).select("p_partkey", r("percentil", 8).alias("percentil"))
 
 
 @query("""

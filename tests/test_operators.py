@@ -48,8 +48,11 @@ def test_language_weight_on_mathematics(spark):
 
 def test_percent_rank_and_bands(spark):
     df = spark.createDataFrame([(i, v) for i, v in enumerate([1, 2, 2, 5, None])], "i int, v int")
-    got = [r.p for r in df.select("i", windows.percent_rank("v").alias("p")).orderBy("i").collect()]
-    assert got == [0.25, 0.625, 0.625, 1.0, None]
+    want = [0.25, 0.625, 0.625, 1.0, None]
+    assert [r.p for r in windows.global_rank(df, "v", "p", percent=True).orderBy("i").collect()] == want
+    assert [r.p for r in df.withColumn("g", F.lit(1)).select("i", windows.percent_rank("v", ["g"]).alias("p")).orderBy("i").collect()] == want
+    assert [r.p for r in windows.global_rank(df, "v", "p", descending=True).orderBy("i").collect()] == [4.0, 2.5, 2.5, 1.0, None]
+    assert [r.p for r in windows.global_min_max(df, "v", "p").orderBy("i").collect()] == [0.0, 0.25, 0.25, 1.0, None]
     sizes = spark.createDataFrame([(20000.0, 90.0), (20001.0, 99.9), (None, 100.0), (5.0, None)], "p double, s double")
     bands = sizes.select(windows.right_closed_bands(F.col("p"), [0, 20000, 50000], ["<=20k", "20-50k"]).alias("a"), windows.score_bands(F.col("s")).alias("b"))
     assert [tuple(r) for r in bands.collect()] == [("<=20k", "90-<95"), ("20-50k", "95-<100"), ("nan", "100"), ("<=20k", "nan")]

@@ -235,3 +235,38 @@ def test_panels(spark):
     assert '"no_escola":"E1b"' in panel.painel and '"medalha":"Ouro"' in panel.painel
     sheet = {r.co_entidade: r for r in serve.school_sheets(index, spark.createDataFrame([("1", 3)], "co_entidade string, n long")).collect()}
     assert sheet["1"].no_escola == "E1b" and sheet["1"].n_premios == 3 and len(sheet["1"].series["EF2"]) == 2 and sheet["2"].n_premios == 0
+
+
+def test_whole_run(spark, cities, school_dim, tmp_path):
+    from meridia.plans import orchestrate
+
+    w = orchestrate.Workspace(spark, f"file://{tmp_path}")
+    w.write("dim_municipio_base", cities.withColumns({"regiao": F.lit("SE")}))
+    dim = school_dim.withColumns({"uf": F.lit("SP"), "rede": F.when(F.col("rede_publica"), "Municipal").otherwise("Privada"), "ultimo_ano": F.lit(2023), "fonte": F.lit("ideb")})
+    w.write("dim_escola_base", dim)
+    w.write("medalhistas", award_rows(spark))
+    w.write("enem_all", exam.conform(exam_raw(spark), exam.source(2023, "microdados")))
+    index = dim.select("co_entidade", "no_escola", "co_municipio", "uf", F.lit("EF2").alias("etapa"), F.lit(2023).alias("ano"), "rede", F.lit(200.0).alias("nota_saeb_lp"), F.lit(210.0).alias("nota_saeb_mt"), F.lit(5.5).alias("nota_saeb_padronizada"), F.lit(5.0).alias("ideb"), F.lit(0.9).alias("indicador_rendimento"), F.lit(95.0).alias("taxa_aprovacao"))
+    w.write("ideb_escola", index)
+    w.write("ideb_municipio", index.filter("co_entidade = '00000001'").drop("co_entidade", "no_escola"))
+    w.write("saeb_escola", spark.createDataFrame([("SP", "EF2", 2023, "publica", 250.0, 260.0, 20, 5.0, 3)], "uf string, etapa string, ano int, rede string, proficiencia_lp double, proficiencia_mt double, n_alunos int, inse_aluno_medio double, n_alunos_inse int"))
+    report = orchestrate.run(w, SALT, n_min=1)
+    assert {r.regra: r.n for r in report.collect() if r.n} == {}
+    fact = w.read("fato_desempenho")
+    assert fact.columns == star.FACT and {r.fonte for r in fact.select("fonte").distinct().collect()} == {"enem", "ideb", "saeb", "olimpiadas"}
+    cells = w.read("map_cells")
+    assert {r.prova for r in cells.select("prova").distinct().collect()} == {"saeb", "enem", "obmep", "obi"}
+    assert cells.filter("suprimido AND valor IS NOT NULL OR NOT suprimido AND valor IS NULL").count() == 0
+    saeb = cells.filter("prova = 'saeb'").collect()
+    assert {(r.nivel, r.valor) for r in saeb} == {("municipio", 205.0), ("uf", 255.0)}
+    assert [s for s, _ in w.timings] == ["linkage", "agregacoes", "star", "celulas"] and w.timing_table().count() == 4
+    assert orchestrate.profile(w, "dim_aluno").filter("coluna = 'aluno_hash' AND pct_nulo = 0").count() == 1
+
+
+def test_socioeconomic_cells(spark, cities):
+    rows = spark.createDataFrame([("3550308", 2023, 5.0, 10, True), ("3550308", 2023, 6.0, 30, True), ("3550308", 2023, 9.0, 99, False), ("3500001", 2023, None, 5, True)], "co_municipio string, ano int, inse double, n_alunos long, rede_publica boolean")
+    got = {(r.nivel, r.etapa, r.codigo): (r.valor, r.n, r.suprimido) for r in serve.socioeconomic_cells(rows, cities).collect()}
+    assert got[("municipio", "EM", "3550308")] == got[("uf", "EF2", "SP")] == (5.75, 40, False)
+    assert got[("municipio", "EF2", "3500001")] == (None, None, True)
+    latest = serve.latest_by_priority(spark.createDataFrame([("a", 2021, 1.0), ("a", 2023, None), ("a", 2019, 3.0)], "k string, ano int, v double"), "k", "v").first()
+    assert latest.v == 1.0
