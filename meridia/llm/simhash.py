@@ -15,6 +15,11 @@ changes of them, and two of them meet under one such entry if and only if they d
 in at most two bits; an entry holds 33 at most, and a star to the least of them links them.
 Components of the links come from large-star and small-star steps.
 
+The stage form (similar_groups, drop_near_copies) finds texts of similarity 0.8 in five-word shingles,
+which 64 bits can't tell within two of them: fingerprints have 256 bits, so 32 positional bytes,
+postings are of three bytes together in 120 lists, and the verification counts differing bits. A pair at
+similarity 0.85 shares a posting with a chance of 0.99, at 0.8 of 0.91.
+
 Defined results: null text has no words; documents without words have fingerprint zero
 and link like any other; component_id is the smallest doc_id, null ones aside; repeated
 rows each get a result row. An empty table gives no rows. Extra columns are ignored
@@ -23,6 +28,9 @@ rows each get a result row. An empty table gives no rows. Extra columns are igno
 
 from __future__ import annotations
 
+import math
+import random
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -122,6 +130,64 @@ def links(fps: DataFrame, max_bits: int = MAX_BITS, cap: int = POSTING_CAP) -> D
     return verified.unionByName(stars).distinct()
 
 
+#: Stage form: words in a shingle, 64-bit words in a fingerprint, joint postings of three bytes each, and the largest
+#: number of differing bits, which similarity SIMILARITY has in expectation.
+WIDE_SHINGLE, WIDE_WORDS, WIDE_LISTS, SIMILARITY = 5, 4, 120, 0.8
+_MIX = (0, 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
+
+
+def bits_at(similarity: float, bits: int) -> int:
+    """Differing bits of two fingerprints, in expectation, at a Jaccard similarity of equally large shingle sets."""
+    return int(bits * math.acos(2 * similarity / (1 + similarity)) / math.pi)
+
+
+def wide_fingerprint(text: str | None, words: int = WIDE_SHINGLE) -> list[int]:
+    """WIDE_WORDS signed words: a SimHash of 64 bits for each remixing of the shingles' hashes."""
+    w = (text or "").encode().lower().split()
+    if not w:
+        return [0] * WIDE_WORDS
+    shingles = {b" ".join(w[i : i + words]) for i in range(max(1, len(w) - words + 1))}
+    h = np.fromiter((xxhash.xxh64_intdigest(s, SEED) for s in shingles), np.uint64)
+    ones = np.zeros(64 * WIDE_WORDS, np.int64)
+    with np.errstate(over="ignore"):
+        for lo in range(0, len(h), _CHUNK):
+            part = h[lo : lo + _CHUNK]
+            mixed = np.empty((len(part), WIDE_WORDS), "<u8")
+            for k in range(WIDE_WORDS):
+                x = part ^ np.uint64(_MIX[k])
+                if k:
+                    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+                    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+                    x ^= x >> np.uint64(31)
+                mixed[:, k] = x
+            ones += np.unpackbits(mixed.view(np.uint8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return np.packbits(ones * 2 > len(h), bitorder="little").view("<i8").tolist()
+
+
+def wide_links(fps: DataFrame, max_bits: int, cap: int = POSTING_CAP) -> DataFrame:
+    """Rows (u, v) of ids whose wide fingerprints differ in at most ``max_bits``.
+
+    fps: distinct (id, w array of words). Each posting is three positional bytes together. Postings of
+    at most ``cap`` make pairs; in longer ones every entry meets the one with the least hash of its
+    id and the list's number, another one in each list, so groups stay joined without pairs."""
+    rng = random.Random(11)
+    triples = [tuple(rng.sample(range(8 * WIDE_WORDS), 3)) for _ in range(WIDE_LISTS)]
+    byte = lambda i: F.shiftrightunsigned(F.col("w")[i // 8], 8 * (i % 8)).bitwiseAND(255)
+    keys = F.array(*[(F.lit(no << 24) + byte(a) * 65536 + byte(b) * 256 + byte(c)).alias("k") for no, (a, b, c) in enumerate(triples)])
+    index = materialize(fps.select("id", F.explode(keys).alias("k")), "wide-postings")
+    order = F.xxhash64("k", "id")
+    sizes = index.groupBy("k").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("u"), F.max("id").alias("v"), F.min_by("id", order).alias("hub"))
+    sizes = materialize(sizes.filter("n > 1"), "wide-sizes")
+    couples = sizes.filter("n = 2").select("u", "v")
+    some = index.join(sizes.filter(f"n > 2 AND n <= {cap}").select("k"), "k").groupBy("k").agg(F.sort_array(F.collect_list("id")).alias("l"))
+    some = some.select(F.posexplode("l").alias("i", "u"), "l").select("u", F.explode(F.slice("l", F.col("i") + 2, cap)).alias("v"))
+    hubs = index.join(sizes.filter(f"n > {cap}").select("k", "hub"), "k").select(F.least("id", "hub").alias("u"), F.greatest("id", "hub").alias("v")).filter("u <> v")
+    pairs = couples.unionByName(some).unionByName(hubs).distinct()
+    a, b = fps.select(F.col("id").alias("u"), F.col("w").alias("a")), fps.select(F.col("id").alias("v"), F.col("w").alias("b"))
+    differ = sum((F.bit_count(F.col("a")[i].bitwiseXOR(F.col("b")[i])) for i in range(WIDE_WORDS)), F.lit(0))
+    return pairs.join(a, "u").join(b, "v").filter(differ <= max_bits).select("u", "v")
+
+
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = SHINGLE, max_bits: int = MAX_BITS) -> DataFrame:
     """Rows (doc_id, fingerprint, component_id), one per document."""
     rows = materialize(fingerprints(docs, id_col, text_col, words), "fingerprints")
@@ -132,7 +198,12 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def _labels(rows: DataFrame, max_bits: int) -> DataFrame:
     """Rows (fp, component_id)."""
     fps = materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct-fps")
-    roots = components(links(fps.select("fp"), max_bits))
+    return _component_ids(fps, links(fps.select("fp"), max_bits))
+
+
+def _component_ids(fps: DataFrame, linked: DataFrame) -> DataFrame:
+    """Rows (fp, component_id): the least doc_id of all that the links (u, v) join. fps: fp, least."""
+    roots = components(linked)
     rooted = fps.join(roots, fps["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     rooted = materialize(rooted, "rooted")
     # Only components of several fingerprints need the least doc_id of all of them.
@@ -141,12 +212,30 @@ def _labels(rows: DataFrame, max_bits: int) -> DataFrame:
     return materialize(rooted.join(least, "root", "left").select("fp", F.coalesce("component_id", "least").alias("component_id")), "labels")
 
 
-def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = SHINGLE, max_bits: int = MAX_BITS) -> DataFrame:
-    """docs with one document of each component: the one with the smallest doc_id.
+def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
+    """Rows (doc_id, component_id): groups of texts whose five-word shingles are ``similarity`` alike or more, as wide
+    fingerprints estimate it. Copies are one entry."""
+
+    def run(batches):
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 512):
+                part = batch.slice(lo, 512)
+                w = [wide_fingerprint(t) for t in part.column(1).to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(w, pa.list_(pa.int64()))], ["doc_id", "w"])
+
+    d = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"))
+    rows = materialize(d.mapInArrow(run, "doc_id long, w array<long>").withColumn("fp", F.xxhash64("w")), "wide-fingerprints")
+    fps = materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("least"), F.first("w").alias("w")), "wide-distinct")
+    found = wide_links(fps.select(F.col("fp").alias("id"), "w"), bits_at(similarity, 64 * WIDE_WORDS))
+    return rows.join(_component_ids(fps.select("fp", "least"), found), "fp").select("doc_id", "component_id")
+
+
+def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
+    """docs with one document of each group of similar texts: the one with the smallest doc_id.
 
     Rows that repeat that doc_id are reduced to one; rows without doc_id stay as they are if
-    their component has no doc_id at all."""
-    labelled = near_dedup(docs, id_col, text_col, words, max_bits)
+    their group has no doc_id at all."""
+    labelled = materialize(similar_groups(docs, id_col, text_col, similarity), "groups")
     keep = materialize(labelled.select(F.col("component_id").alias("__keep")).filter("__keep IS NOT NULL").distinct(), "kept-ids")
     bare = labelled.filter("component_id IS NULL").limit(1).count() > 0
     # Always a merge join: the kept ids grow with the input.
