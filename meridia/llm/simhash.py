@@ -172,9 +172,18 @@ def wide_links(fps: DataFrame, max_bits: int, cap: int = POSTING_CAP) -> DataFra
     id and the list's number, another one in each list, so groups stay joined without pairs."""
     rng = random.Random(11)
     triples = [tuple(rng.sample(range(8 * WIDE_WORDS), 3)) for _ in range(WIDE_LISTS)]
-    byte = lambda i: F.shiftrightunsigned(F.col("w")[i // 8], 8 * (i % 8)).bitwiseAND(255)
-    keys = F.array(*[(F.lit(no << 24) + byte(a) * 65536 + byte(b) * 256 + byte(c)).alias("k") for no, (a, b, c) in enumerate(triples)])
-    index = materialize(fps.select("id", F.explode(keys).alias("k")), "wide-postings")
+    places = np.array(triples)
+
+    def keys(batches):  # arrays: one expression for each list would be too much generated code
+        for batch in batches:
+            w = np.array(batch.column(1).to_pylist(), "<i8").reshape(-1, WIDE_WORDS)
+            b = w.view(np.uint8).reshape(len(w), 8 * WIDE_WORDS)[:, places].astype(np.int32)
+            k = (np.arange(WIDE_LISTS, dtype=np.int32) << 24) + (b[:, :, 0] << 16) + (b[:, :, 1] << 8) + b[:, :, 2]
+            flat = pa.ListArray.from_arrays(pa.array(np.arange(0, k.size + 1, WIDE_LISTS), pa.int32()), pa.array(k.ravel(), pa.int32()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), flat], ["id", "k"])
+
+    index = fps.select("id", "w").mapInArrow(keys, "id long, k array<int>").select("id", F.explode("k").alias("k"))
+    index = materialize(index, "wide-postings")
     order = F.xxhash64("k", "id")
     sizes = index.groupBy("k").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("u"), F.max("id").alias("v"), F.min_by("id", order).alias("hub"))
     sizes = materialize(sizes.filter("n > 1"), "wide-sizes")
