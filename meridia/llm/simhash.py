@@ -16,9 +16,10 @@ in at most two bits; an entry holds 33 at most, and a star to the least of them
 Components of the links come from large-star and small-star steps.
 
 The stage form (similar_groups, drop_near_copies) finds texts of similarity 0.8 in five-word shingles,
-which 64 bits can't tell within two of them: fingerprints have 256 bits, so 32 positional bytes,
-postings are of three bytes together in 120 lists, and the verification counts differing bits. A pair at
-similarity 0.85 shares a posting with a chance of 0.99, at 0.8 of 0.91.
+which 64 bits can't tell within two of them: fingerprints have 256 bits, so 32 positional bytes, and
+postings are of three bytes together in 160 lists. Pairs that meet are tallied by differing bits, and
+all whose similarity the tally leaves open have their shingles compared. A pair at similarity 0.85
+shares a posting with a chance of 0.998, at 0.8 of 0.96.
 
 Defined results: null text has no words; documents without words have fingerprint zero
 and link like any other; component_id is the smallest doc_id, null ones aside; repeated
@@ -30,6 +31,7 @@ from __future__ import annotations
 
 import math
 import random
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -130,24 +132,32 @@ def links(fps: DataFrame, max_bits: int = MAX_BITS, cap: int = POSTING_CAP) -> D
     return verified.unionByName(stars).distinct()
 
 
-#: Stage form: words in a shingle, 64-bit words in a fingerprint, joint postings of three bytes each, and the largest
-#: number of differing bits, which similarity SIMILARITY has in expectation.
-WIDE_SHINGLE, WIDE_WORDS, WIDE_LISTS, SIMILARITY = 5, 4, 120, 0.8
+#: Stage form: words in a shingle, 64-bit words in a fingerprint, joint postings of three bytes each, how many of them
+#: are worked on at a time, and by how many more bytes a level deals long postings anew.
+WIDE_SHINGLE, WIDE_WORDS, WIDE_LISTS, WIDE_ROUND, WIDE_FINER = 5, 4, 160, 80, 6
+SIMILARITY = 0.8
 _MIX = (0, 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
 
 
-def bits_at(similarity: float, bits: int) -> int:
-    """Differing bits of two fingerprints, in expectation, at a Jaccard similarity of equally large shingle sets."""
-    return int(bits * math.acos(2 * similarity / (1 + similarity)) / math.pi)
+def bits_at(similarity: float, bits: int, deviations: float = 0.0) -> int:
+    """Differing bits of two fingerprints, in expectation, at a Jaccard similarity of equally large shingle sets, plus
+    so many standard deviations."""
+    p = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    return int(bits * p + deviations * math.sqrt(bits * p * (1 - p)))
+
+
+def shingle_hashes(text: str | None, words: int = WIDE_SHINGLE) -> np.ndarray:
+    """Hashes of the distinct shingles; fewer words than a shingle has are one, none are none."""
+    w = (text or "").encode().lower().split()
+    shingles = {b" ".join(w[i : i + words]) for i in range(max(1, len(w) - words + 1))} if w else ()
+    return np.fromiter((xxhash.xxh64_intdigest(s, SEED) for s in shingles), np.uint64)
 
 
 def wide_fingerprint(text: str | None, words: int = WIDE_SHINGLE) -> list[int]:
     """WIDE_WORDS signed words: a SimHash of 64 bits for each remixing of the shingles' hashes."""
-    w = (text or "").encode().lower().split()
-    if not w:
+    h = shingle_hashes(text, words)
+    if not len(h):
         return [0] * WIDE_WORDS
-    shingles = {b" ".join(w[i : i + words]) for i in range(max(1, len(w) - words + 1))}
-    h = np.fromiter((xxhash.xxh64_intdigest(s, SEED) for s in shingles), np.uint64)
     ones = np.zeros(64 * WIDE_WORDS, np.int64)
     with np.errstate(over="ignore"):
         for lo in range(0, len(h), _CHUNK):
@@ -164,37 +174,133 @@ def wide_fingerprint(text: str | None, words: int = WIDE_SHINGLE) -> list[int]:
     return np.packbits(ones * 2 > len(h), bitorder="little").view("<i8").tolist()
 
 
-def wide_links(fps: DataFrame, max_bits: int, cap: int = POSTING_CAP) -> DataFrame:
-    """Rows (u, v) of ids whose wide fingerprints differ in at most ``max_bits``.
+_PLACES = np.array([random.Random(1100 + no).sample(range(8 * WIDE_WORDS), 8 * WIDE_WORDS) for no in range(WIDE_LISTS)])
+
 
-    fps: distinct (id, w array of words). Each posting is three positional bytes together. Postings of
-    at most ``cap`` make pairs; in longer ones every entry meets the one with the least hash of its
-    id and the list's number, another one in each list, so groups stay joined without pairs."""
-    rng = random.Random(11)
-    triples = [tuple(rng.sample(range(8 * WIDE_WORDS), 3)) for _ in range(WIDE_LISTS)]
-    places = np.array(triples)
+def _bytes(words: pa.Array) -> np.ndarray:
+    w = np.array(words.to_pylist(), "<i8").reshape(-1, WIDE_WORDS)
+    return w.view(np.uint8).reshape(len(w), 8 * WIDE_WORDS)
+
+
+def wide_postings(fps: DataFrame, first: int, last: int) -> DataFrame:
+    """Rows (id, list_no, k): the postings of the lists from first to before last; fps: (id, w)."""
 
     def keys(batches):  # arrays: one expression for each list would be too much generated code
+        nos = np.arange(first, last, dtype=np.int64)
         for batch in batches:
-            w = np.array(batch.column(1).to_pylist(), "<i8").reshape(-1, WIDE_WORDS)
-            b = w.view(np.uint8).reshape(len(w), 8 * WIDE_WORDS)[:, places].astype(np.int32)
-            k = (np.arange(WIDE_LISTS, dtype=np.int32) << 24) + (b[:, :, 0] << 16) + (b[:, :, 1] << 8) + b[:, :, 2]
-            flat = pa.ListArray.from_arrays(pa.array(np.arange(0, k.size + 1, WIDE_LISTS), pa.int32()), pa.array(k.ravel(), pa.int32()))
+            b = _bytes(batch.column(1))[:, _PLACES[first:last, :3]].astype(np.int64)
+            k = (nos << 24) + (b[:, :, 0] << 16) + (b[:, :, 1] << 8) + b[:, :, 2]
+            flat = pa.ListArray.from_arrays(pa.array(np.arange(0, k.size + 1, last - first), pa.int32()), pa.array(k.ravel(), pa.int64()))
             yield pa.RecordBatch.from_arrays([batch.column(0), flat], ["id", "k"])
 
-    index = fps.select("id", "w").mapInArrow(keys, "id long, k array<int>").select("id", F.explode("k").alias("k"))
-    index = materialize(index, "wide-postings")
-    order = F.xxhash64("k", "id")
-    sizes = index.groupBy("k").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("u"), F.max("id").alias("v"), F.min_by("id", order).alias("hub"))
-    sizes = materialize(sizes.filter("n > 1"), "wide-sizes")
+    index = fps.select("id", "w").mapInArrow(keys, "id long, k array<long>").select("id", F.explode("k").alias("k"))
+    return index.select("id", F.shiftright("k", 24).cast("int").alias("list_no"), "k")
+
+
+def finer_postings(hot: DataFrame, fps: DataFrame, level: int) -> DataFrame:
+    """The rows of long postings dealt anew, by each of the list's next WIDE_FINER bytes."""
+
+    def keys(batches):
+        for batch in batches:
+            nos = batch.column(1).to_numpy()
+            lo = 3 + WIDE_FINER * level
+            at = _PLACES[nos, lo : lo + WIDE_FINER]
+            b = np.take_along_axis(_bytes(batch.column(3)), at, axis=1).astype(np.int64)
+            n = at.shape[1]
+            cols = [np.repeat(batch.column(i).to_numpy(), n) for i in range(3)]
+            yield pa.RecordBatch.from_arrays([*map(pa.array, cols), pa.array((at * 256 + b).ravel())], ["id", "list_no", "k", "more"])
+
+    dealt = hot.join(fps.select("id", "w"), "id").select("id", "list_no", "k", "w").mapInArrow(keys, "id long, list_no int, k long, more long")
+    return dealt.select("id", "list_no", F.xxhash64("k", "more").alias("k"))
+
+
+def posting_pairs(index: DataFrame, cap: int, name: str) -> tuple[DataFrame, DataFrame]:
+    """Rows (u, v), u < v, that meet in postings, and the rows of the postings longer than ``cap``.
+
+    Postings of at most ``cap`` make all their pairs; in a longer one every entry meets the one with
+    the least hash of its id and the posting's key, another one in each posting."""
+    index = materialize(index, f"{name}-postings")
+    sizes = index.groupBy("k").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("u"), F.max("id").alias("v"))
+    sizes = materialize(sizes.filter("n > 1"), f"{name}-sizes")
     couples = sizes.filter("n = 2").select("u", "v")
     some = index.join(sizes.filter(f"n > 2 AND n <= {cap}").select("k"), "k").groupBy("k").agg(F.sort_array(F.collect_list("id")).alias("l"))
     some = some.select(F.posexplode("l").alias("i", "u"), "l").select("u", F.explode(F.slice("l", F.col("i") + 2, cap)).alias("v"))
-    hubs = index.join(sizes.filter(f"n > {cap}").select("k", "hub"), "k").select(F.least("id", "hub").alias("u"), F.greatest("id", "hub").alias("v")).filter("u <> v")
-    pairs = couples.unionByName(some).unionByName(hubs).distinct()
+    hot = materialize(index.join(sizes.filter(f"n > {cap}").select("k"), "k").select("id", "list_no", "k"), f"{name}-long")
+    hubs = materialize(hot.groupBy("k").agg(F.min_by("id", F.xxhash64("k", "id")).alias("hub")), f"{name}-hubs")
+    met = hot.join(hubs, "k").select(F.least("id", "hub").alias("u"), F.greatest("id", "hub").alias("v"))
+    return couples.unionByName(some).unionByName(met).filter("u < v").distinct(), hot
+
+
+def _near(pairs: DataFrame, fps: DataFrame, far: int, name: str) -> DataFrame:
+    """Rows (u, v, bits) of pairs with at most ``far`` differing bits."""
     a, b = fps.select(F.col("id").alias("u"), F.col("w").alias("a")), fps.select(F.col("id").alias("v"), F.col("w").alias("b"))
     differ = sum((F.bit_count(F.col("a")[i].bitwiseXOR(F.col("b")[i])) for i in range(WIDE_WORDS)), F.lit(0))
-    return pairs.join(a, "u").join(b, "v").filter(differ <= max_bits).select("u", "v")
+    counted = pairs.join(a, "u").join(b, "v").select("u", "v", differ.alias("bits"))
+    return materialize(counted.filter(F.col("bits") <= far), f"{name}-near")
+
+
+def _apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
+    """The pairs whose ends are not in one component yet."""
+    a, b = roots.select(F.col("node").alias("u"), F.col("root").alias("ru")), roots.select(F.col("node").alias("v"), F.col("root").alias("rv"))
+    joined = pairs.join(a, "u", "left").join(b, "v", "left")
+    return joined.filter(F.coalesce("ru", "u") != F.coalesce("rv", "v")).select("u", "v")
+
+
+def similar_pairs(pairs: DataFrame, fps: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
+    """The pairs whose texts share that part of their distinct shingles; counted, not estimated.
+
+    fps: (id, rid); texts: (rid, text), rid one for each different doc_id and text."""
+    ends = pairs.select(F.col("u").alias("id")).unionByName(pairs.select(F.col("v").alias("id"))).distinct()
+    wanted = materialize(fps.join(ends, "id", "left_semi").select("id", "rid"), "wanted")
+
+    def run(batches):
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 256):
+                part = batch.slice(lo, 256)
+                s = [np.unique(shingle_hashes(t).astype(np.uint32)).view(np.int32) for t in part.column(1).to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(s, pa.list_(pa.int32()))], ["id", "s"])
+
+    found = texts.join(wanted.hint("merge"), "rid").dropDuplicates(["rid", "id"]).select("id", "text")
+    sets = materialize(found.mapInArrow(run, "id long, s array<int>"), "shingle-sets")
+    a, b = sets.select(F.col("id").alias("u"), F.col("s").alias("a")), sets.select(F.col("id").alias("v"), F.col("s").alias("b"))
+    both = F.size(F.array_intersect("a", "b"))
+    alike = both * (1 + similarity) >= (F.size("a") + F.size("b")) * similarity - 1e-9
+    return pairs.join(a, "u").join(b, "v").filter(alike).select("u", "v")
+
+
+def wide_links(fps: DataFrame, texts: DataFrame, similarity: float = SIMILARITY, cap: int = POSTING_CAP) -> DataFrame:
+    """Rows (u, v): links whose components are those of the similar pairs that meet in a posting.
+
+    fps: distinct (id, w array of words, rid); texts: (rid, text). Pairs that differ in far fewer bits than the
+    similarity makes likely pass at once, those of far more fail, and all others have their shingles
+    compared, unless links already join them. Postings longer than ``cap`` whose entries the links to
+    their hubs have not joined into one are dealt anew by further bytes until they are short."""
+    bits = 64 * WIDE_WORDS
+    sure, far = bits_at(similarity, bits, -3.25), bits_at(similarity, bits, 3)
+    near, hot = [], []
+    for lo in range(0, WIDE_LISTS, WIDE_ROUND):
+        pairs, long = posting_pairs(wide_postings(fps, lo, min(lo + WIDE_ROUND, WIDE_LISTS)), cap, f"wide-{lo}")
+        near.append(_near(pairs, fps, far, f"wide-{lo}"))
+        hot.append(long)
+    met, long = reduce(DataFrame.unionByName, near).distinct(), reduce(DataFrame.unionByName, hot)
+    links, level = None, 0
+    while True:
+        passed = met.filter(F.col("bits") <= sure).select("u", "v")
+        links = materialize(passed if links is None else links.unionByName(passed), "wide-sure")
+        open_pairs = materialize(_apart(met.filter(F.col("bits") > sure), components(links)), "wide-open")
+        links = materialize(links.unionByName(similar_pairs(open_pairs, fps, texts, similarity)), "wide-links")
+        if 3 + WIDE_FINER * level >= 8 * WIDE_WORDS:
+            return links
+        roots = components(links)
+        rooted = long.join(roots, long["id"] == roots["node"], "left").select("id", "list_no", "k", F.coalesce("root", "id").alias("r"))
+        rooted = materialize(rooted, "long-rooted")
+        mixed = rooted.groupBy("k").agg(F.min("r").alias("a"), F.max("r").alias("b")).filter("a < b").select("k")
+        mixed = materialize(rooted.join(materialize(mixed, "long-mixed"), "k").select("id", "list_no", "k"), "long-open")
+        if mixed.isEmpty():
+            return links
+        pairs, long = posting_pairs(finer_postings(mixed, fps, level), cap, f"finer-{level}")
+        met = _near(_apart(pairs, roots), fps, far, f"finer-{level}")
+        level += 1
 
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = SHINGLE, max_bits: int = MAX_BITS) -> DataFrame:
@@ -222,21 +328,23 @@ def _component_ids(fps: DataFrame, linked: DataFrame) -> DataFrame:
 
 
 def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
-    """Rows (doc_id, component_id): groups of texts whose five-word shingles are ``similarity`` alike or more, as wide
-    fingerprints estimate it. Copies are one entry."""
+    """Rows (doc_id, component_id): groups of texts that share ``similarity`` of their five-word shingles or more.
+    Copies, and texts with the same 256 bits, are one entry."""
 
     def run(batches):
         for batch in batches:
             for lo in range(0, batch.num_rows, 512):
                 part = batch.slice(lo, 512)
-                w = [wide_fingerprint(t) for t in part.column(1).to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(w, pa.list_(pa.int64()))], ["doc_id", "w"])
+                w = [wide_fingerprint(t) for t in part.column(2).to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(w, pa.list_(pa.int64()))], ["doc_id", "rid", "w"])
 
     d = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"))
-    rows = materialize(d.mapInArrow(run, "doc_id long, w array<long>").withColumn("fp", F.xxhash64("w")), "wide-fingerprints")
-    fps = materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("least"), F.first("w").alias("w")), "wide-distinct")
-    found = wide_links(fps.select(F.col("fp").alias("id"), "w"), bits_at(similarity, 64 * WIDE_WORDS))
-    return rows.join(_component_ids(fps.select("fp", "least"), found), "fp").select("doc_id", "component_id")
+    d = d.select("doc_id", F.xxhash64("doc_id", "text").alias("rid"), "text")
+    rows = materialize(d.mapInArrow(run, "doc_id long, rid long, w array<long>").withColumn("fp", F.xxhash64("w")), "wide-fingerprints")
+    fps = rows.groupBy("fp").agg(F.min("doc_id").alias("least"), F.min("rid").alias("rid"), F.first("w").alias("w"))
+    fps = materialize(fps, "wide-distinct")
+    found = wide_links(fps.select(F.col("fp").alias("id"), "w", "rid"), d.select("rid", "text"), similarity)
+    return rows.select("doc_id", "fp").join(_component_ids(fps.select("fp", "least"), found), "fp").select("doc_id", "component_id")
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
