@@ -15,11 +15,10 @@ changes of them, and two of them meet under one such entry if and only if they d
 in at most two bits; an entry holds 33 at most, and a star to the least of them links them.
 Components of the links come from large-star and small-star steps.
 
-The stage form (similar_groups, drop_near_copies) finds texts of similarity 0.8 in five-word shingles,
-which 64 bits can't tell within two of them: fingerprints have 256 bits, so 32 positional bytes, and
-postings are of three bytes together in 160 lists. Pairs that meet are tallied by differing bits, and
-all whose similarity the tally leaves open have their shingles compared. A pair at similarity 0.85
-shares a posting with a chance of 0.998, at 0.8 of 0.96.
+The stage form (similar_groups, drop_near_copies) finds the texts of similarity 0.8 in five-word shingles,
+which fingerprints can't tell: it is an exact join of the shingle sets, and no SimHash. Each set's rarest
+shingles (a fifth of it, and one) are its prefix; two similar sets share one of these. Pairs that meet in a posting
+of a prefix's shingle have their common shingles counted. Shingles are told apart by 40 bits of their hashes.
 
 Defined results: null text has no words; documents without words have fingerprint zero
 and link like any other; component_id is the smallest doc_id, null ones aside; repeated
@@ -30,8 +29,6 @@ rows each get a result row. An empty table gives no rows. Extra columns are igno
 from __future__ import annotations
 
 import math
-import random
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -132,11 +129,10 @@ def links(fps: DataFrame, max_bits: int = MAX_BITS, cap: int = POSTING_CAP) -> D
     return verified.unionByName(stars).distinct()
 
 
-#: Stage form: words in a shingle, 64-bit words in a fingerprint, joint postings of three bytes each, how many of them
-#: are worked on at a time, and by how many more bytes a level deals long postings anew.
-WIDE_SHINGLE, WIDE_WORDS, WIDE_LISTS, WIDE_ROUND, WIDE_FINER = 5, 4, 160, 80, 6
+#: Stage form: words in a shingle, bits of a shingle's key, keys in a bucket that are counted at once, rounds of hubs for
+#: long postings.
+WIDE_SHINGLE, KEY_BITS, BUCKET_KEYS, HUB_ROUNDS = 5, 40, 2_000_000, 2
 SIMILARITY = 0.8
-_MIX = (0, 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
 
 
 def bits_at(similarity: float, bits: int, deviations: float = 0.0) -> int:
@@ -153,154 +149,136 @@ def shingle_hashes(text: str | None, words: int = WIDE_SHINGLE) -> np.ndarray:
     return np.fromiter((xxhash.xxh64_intdigest(s, SEED) for s in shingles), np.uint64)
 
 
-def wide_fingerprint(text: str | None, words: int = WIDE_SHINGLE) -> list[int]:
-    """WIDE_WORDS signed words: a SimHash of 64 bits for each remixing of the shingles' hashes."""
-    h = shingle_hashes(text, words)
-    if not len(h):
-        return [0] * WIDE_WORDS
-    ones = np.zeros(64 * WIDE_WORDS, np.int64)
-    with np.errstate(over="ignore"):
-        for lo in range(0, len(h), _CHUNK):
-            part = h[lo : lo + _CHUNK]
-            mixed = np.empty((len(part), WIDE_WORDS), "<u8")
-            for k in range(WIDE_WORDS):
-                x = part ^ np.uint64(_MIX[k])
-                if k:
-                    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-                    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-                    x ^= x >> np.uint64(31)
-                mixed[:, k] = x
-            ones += np.unpackbits(mixed.view(np.uint8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return np.packbits(ones * 2 > len(h), bitorder="little").view("<i8").tolist()
+def shingle_keys(text: str | None) -> np.ndarray:
+    """The distinct keys of a text's shingles, sorted."""
+    return np.unique(shingle_hashes(text) >> np.uint64(64 - KEY_BITS)).astype(np.int64)
 
 
-_PLACES = np.array([random.Random(1100 + no).sample(range(8 * WIDE_WORDS), 8 * WIDE_WORDS) for no in range(WIDE_LISTS)])
+def _entry(keys: np.ndarray) -> int:
+    return xxhash.xxh64_intdigest(keys.tobytes(), SEED) - (1 << 63)
 
 
-def _bytes(words: pa.Array) -> np.ndarray:
-    w = np.array(words.to_pylist(), "<i8").reshape(-1, WIDE_WORDS)
-    return w.view(np.uint8).reshape(len(w), 8 * WIDE_WORDS)
+def _lists(values: np.ndarray, stops: np.ndarray, kind: pa.DataType) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], stops]), pa.int32()), pa.array(values, kind))
 
 
-def wide_postings(fps: DataFrame, first: int, last: int) -> DataFrame:
-    """Rows (id, list_no, k): the postings of the lists from first to before last; fps: (id, w)."""
+def shared_keys(texts: DataFrame, buckets: int) -> DataFrame:
+    """Rows (id, n, keys, dfs), several for each entry: its keys that other entries have too, and how many have them.
 
-    def keys(batches):  # arrays: one expression for each list would be too much generated code
-        nos = np.arange(first, last, dtype=np.int64)
+    texts: (text). n: number of all keys. Copies are one entry, and only its first in a task is sent on."""
+
+    def deal(batches):
+        seen = set()
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 256):
+                out = {"bucket": [], "id": [], "n": [], "size": [], "keys": []}
+                for t in batch.column(0).slice(lo, 256).to_pylist():
+                    keys = shingle_keys(t)
+                    entry = _entry(keys)
+                    if entry in seen or not len(keys):
+                        continue
+                    seen.add(entry)
+                    b = keys * buckets >> KEY_BITS  # sorted, as the keys are
+                    at, size = np.unique(b, return_counts=True)
+                    out["bucket"].append(at)
+                    out["size"].append(size)
+                    out["keys"].append(keys)
+                    out["id"].append(np.full(len(at), entry, np.int64))
+                    out["n"].append(np.full(len(at), len(keys), np.int32))
+                if out["id"]:
+                    c = {k: np.concatenate(v) for k, v in out.items()}
+                    keys = _lists(c["keys"], np.cumsum(c["size"]), pa.int64())
+                    yield pa.RecordBatch.from_arrays([pa.array(c["bucket"], pa.int64()), pa.array(c["id"]), pa.array(c["n"]), keys], ["bucket", "id", "n", "keys"])
+
+    def count(table: pa.Table) -> pa.Table:
+        table = table.combine_chunks()
+        ids, at = np.unique(table["id"].to_numpy(), return_index=True)  # repeated entries have equal rows
+        table = table.take(pa.array(at)).combine_chunks()
+        lists = table["keys"].combine_chunks()
+        sizes = np.diff(lists.offsets.to_numpy())
+        _, inverse, counts = np.unique(lists.flatten().to_numpy(), return_inverse=True, return_counts=True)
+        df = counts[inverse]
+        kept = np.add.reduceat(df > 1, np.cumsum(sizes) - sizes) if len(sizes) else sizes
+        some, stops = kept > 0, np.cumsum(kept[kept > 0])
+        keys, dfs = _lists(lists.flatten().to_numpy()[df > 1], stops, pa.int64()), _lists(df[df > 1], stops, pa.int32())
+        return pa.table({"id": ids[some], "n": table["n"].to_numpy()[some], "keys": keys, "dfs": dfs})
+
+    dealt = texts.select("text").mapInArrow(deal, "bucket long, id long, n int, keys array<long>")
+    return dealt.groupBy("bucket").applyInArrow(count, "id long, n int, keys array<long>, dfs array<int>")
+
+
+def prefix_entries(shared: DataFrame, similarity: float) -> DataFrame:
+    """Rows (id, n, s, slots) of the entries that can have a similar one. s: the shared keys, those of fewest entries
+    first; of them, ``slots`` are in the prefix.
+
+    Two sets of that similarity share at least that part of each, so in any common order of all keys
+    the first n - least + 1 keys of each hold a common one. Keys of one entry alone come first in the
+    order and meet nothing: an entry with too many of them has no slot."""
+
+    def rank(batches):
         for batch in batches:
-            b = _bytes(batch.column(1))[:, _PLACES[first:last, :3]].astype(np.int64)
-            k = (nos << 24) + (b[:, :, 0] << 16) + (b[:, :, 1] << 8) + b[:, :, 2]
-            flat = pa.ListArray.from_arrays(pa.array(np.arange(0, k.size + 1, last - first), pa.int32()), pa.array(k.ravel(), pa.int64()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), flat], ["id", "k"])
+            keys, dfs, n = batch.column(2), batch.column(3), batch.column(1).to_numpy()
+            sizes = np.diff(keys.offsets.to_numpy())
+            flat, df = keys.flatten().to_numpy(), dfs.flatten().to_numpy()
+            order = np.lexsort((flat, df, np.repeat(np.arange(len(sizes)), sizes)))
+            slots = sizes - np.ceil(similarity * n - 1e-9).astype(np.int64) + 1
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), _lists(flat[order], np.cumsum(sizes), pa.int64()), pa.array(slots, pa.int32())], ["id", "n", "s", "slots"])
 
-    index = fps.select("id", "w").mapInArrow(keys, "id long, k array<long>").select("id", F.explode("k").alias("k"))
-    return index.select("id", F.shiftright("k", 24).cast("int").alias("list_no"), "k")
+    pairs = F.collect_list(F.struct("keys", "dfs")).alias("p")
+    whole = shared.groupBy("id").agg(F.first("n").alias("n"), pairs).select("id", "n", F.flatten("p.keys").alias("keys"), F.flatten("p.dfs").alias("dfs"))
+    whole = whole.filter(F.size("keys") >= F.col("n") * similarity - 1e-9)
+    return whole.mapInArrow(rank, "id long, n int, s array<long>, slots int")
 
 
-def finer_postings(hot: DataFrame, fps: DataFrame, level: int) -> DataFrame:
-    """The rows of long postings dealt anew, by each of the list's next WIDE_FINER bytes."""
+def _alike(both, m, n, similarity: float):
+    """Whether sets of m and n keys, ``both`` of them common, are that similar."""
+    return both * (1 + similarity) >= (m + n) * similarity - 1e-9
 
-    def keys(batches):
-        for batch in batches:
-            nos = batch.column(1).to_numpy()
-            lo = 3 + WIDE_FINER * level
-            at = _PLACES[nos, lo : lo + WIDE_FINER]
-            b = np.take_along_axis(_bytes(batch.column(3)), at, axis=1).astype(np.int64)
-            n = at.shape[1]
-            cols = [np.repeat(batch.column(i).to_numpy(), n) for i in range(3)]
-            yield pa.RecordBatch.from_arrays([*map(pa.array, cols), pa.array((at * 256 + b).ravel())], ["id", "list_no", "k", "more"])
-
-    dealt = hot.join(fps.select("id", "w"), "id").select("id", "list_no", "k", "w").mapInArrow(keys, "id long, list_no int, k long, more long")
-    return dealt.select("id", "list_no", F.xxhash64("k", "more").alias("k"))
-
-
-def posting_pairs(index: DataFrame, cap: int, name: str) -> tuple[DataFrame, DataFrame]:
-    """Rows (u, v), u < v, that meet in postings, and the rows of the postings longer than ``cap``.
-
-    Postings of at most ``cap`` make all their pairs; in a longer one every entry meets the one with
-    the least hash of its id and the posting's key, another one in each posting."""
-    index = materialize(index, f"{name}-postings")
-    sizes = index.groupBy("k").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("u"), F.max("id").alias("v"))
-    sizes = materialize(sizes.filter("n > 1"), f"{name}-sizes")
-    couples = sizes.filter("n = 2").select("u", "v")
-    some = index.join(sizes.filter(f"n > 2 AND n <= {cap}").select("k"), "k").groupBy("k").agg(F.sort_array(F.collect_list("id")).alias("l"))
-    some = some.select(F.posexplode("l").alias("i", "u"), "l").select("u", F.explode(F.slice("l", F.col("i") + 2, cap)).alias("v"))
-    hot = materialize(index.join(sizes.filter(f"n > {cap}").select("k"), "k").select("id", "list_no", "k"), f"{name}-long")
-    hubs = materialize(hot.groupBy("k").agg(F.min_by("id", F.xxhash64("k", "id")).alias("hub")), f"{name}-hubs")
-    met = hot.join(hubs, "k").select(F.least("id", "hub").alias("u"), F.greatest("id", "hub").alias("v"))
-    return couples.unionByName(some).unionByName(met).filter("u < v").distinct(), hot
 
+def _possible(a: Column, b: Column, similarity: float) -> Column:
+    """Whether two entries (id, n, i) can be similar that have a common key as the i-th of all their keys."""
+    most = F.least(a["i"], b["i"]) + F.least(a["n"] - a["i"], b["n"] - b["i"])
+    return _alike(most, a["n"], b["n"], similarity)
 
-def _near(pairs: DataFrame, fps: DataFrame, far: int, name: str) -> DataFrame:
-    """Rows (u, v, bits) of pairs with at most ``far`` differing bits."""
-    a, b = fps.select(F.col("id").alias("u"), F.col("w").alias("a")), fps.select(F.col("id").alias("v"), F.col("w").alias("b"))
-    differ = sum((F.bit_count(F.col("a")[i].bitwiseXOR(F.col("b")[i])) for i in range(WIDE_WORDS)), F.lit(0))
-    counted = pairs.join(a, "u").join(b, "v").select("u", "v", differ.alias("bits"))
-    return materialize(counted.filter(F.col("bits") <= far), f"{name}-near")
 
+def similar_pairs(pairs: DataFrame, entries: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (u, v) whose sets are that similar; counted, not estimated."""
+    a, b = (entries.select(F.col("id").alias(x), F.col("n").alias(f"n{x}"), F.col("s").alias(f"s{x}")) for x in "uv")
+    both = F.size(F.array_intersect("su", "sv"))
+    return pairs.join(a, "u").join(b, "v").filter(_alike(both, F.col("nu"), F.col("nv"), similarity)).select("u", "v")
 
-def _apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
-    """The pairs whose ends are not in one component yet."""
-    a, b = roots.select(F.col("node").alias("u"), F.col("root").alias("ru")), roots.select(F.col("node").alias("v"), F.col("root").alias("rv"))
-    joined = pairs.join(a, "u", "left").join(b, "v", "left")
-    return joined.filter(F.coalesce("ru", "u") != F.coalesce("rv", "v")).select("u", "v")
 
+def _mixed(long: DataFrame, links: DataFrame) -> DataFrame:
+    """Rows (k, id, root) of the long postings whose entries the links don't join into one."""
+    roots = components(links)
+    rooted = long.join(roots, long["id"] == roots["node"], "left").select("k", "id", F.coalesce("root", "id").alias("root"))
+    rooted = materialize(rooted, "long-rooted")
+    mixed = rooted.groupBy("k").agg(F.min("root").alias("a"), F.max("root").alias("b")).filter("a < b").select("k")
+    return materialize(rooted.join(mixed, "k"), "long-mixed")
 
-def similar_pairs(pairs: DataFrame, fps: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
-    """The pairs whose texts share that part of their distinct shingles; counted, not estimated.
 
-    fps: (id, rid); texts: (rid, text), rid one for each different doc_id and text."""
-    ends = pairs.select(F.col("u").alias("id")).unionByName(pairs.select(F.col("v").alias("id"))).distinct()
-    wanted = materialize(fps.join(ends, "id", "left_semi").select("id", "rid"), "wanted")
+def wide_links(entries: DataFrame, similarity: float = SIMILARITY, cap: int = POSTING_CAP) -> DataFrame:
+    """Rows (u, v): links whose components are those of the similar pairs that meet.
 
-    def run(batches):
-        for batch in batches:
-            for lo in range(0, batch.num_rows, 256):
-                part = batch.slice(lo, 256)
-                s = [np.unique(shingle_hashes(t).astype(np.uint32)).view(np.int32) for t in part.column(1).to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(s, pa.list_(pa.int32()))], ["id", "s"])
-
-    found = texts.join(wanted.hint("merge"), "rid").dropDuplicates(["rid", "id"]).select("id", "text")
-    sets = materialize(found.mapInArrow(run, "id long, s array<int>"), "shingle-sets")
-    a, b = sets.select(F.col("id").alias("u"), F.col("s").alias("a")), sets.select(F.col("id").alias("v"), F.col("s").alias("b"))
-    both = F.size(F.array_intersect("a", "b"))
-    alike = both * (1 + similarity) >= (F.size("a") + F.size("b")) * similarity - 1e-9
-    return pairs.join(a, "u").join(b, "v").filter(alike).select("u", "v")
-
-
-def wide_links(fps: DataFrame, texts: DataFrame, similarity: float = SIMILARITY, cap: int = POSTING_CAP) -> DataFrame:
-    """Rows (u, v): links whose components are those of the similar pairs that meet in a posting.
-
-    fps: distinct (id, w array of words, rid); texts: (rid, text). Pairs that differ in far fewer bits than the
-    similarity makes likely pass at once, those of far more fail, and all others have their shingles
-    compared, unless links already join them. Postings longer than ``cap`` whose entries the links to
-    their hubs have not joined into one are dealt anew by further bytes until they are short."""
-    bits = 64 * WIDE_WORDS
-    sure, far = bits_at(similarity, bits, -3.25), bits_at(similarity, bits, 3)
-    near, hot = [], []
-    for lo in range(0, WIDE_LISTS, WIDE_ROUND):
-        pairs, long = posting_pairs(wide_postings(fps, lo, min(lo + WIDE_ROUND, WIDE_LISTS)), cap, f"wide-{lo}")
-        near.append(_near(pairs, fps, far, f"wide-{lo}"))
-        hot.append(long)
-    met, long = reduce(DataFrame.unionByName, near).distinct(), reduce(DataFrame.unionByName, hot)
-    links, level = None, 0
-    while True:
-        passed = met.filter(F.col("bits") <= sure).select("u", "v")
-        links = materialize(passed if links is None else links.unionByName(passed), "wide-sure")
-        open_pairs = materialize(_apart(met.filter(F.col("bits") > sure), components(links)), "wide-open")
-        links = materialize(links.unionByName(similar_pairs(open_pairs, fps, texts, similarity)), "wide-links")
-        if 3 + WIDE_FINER * level >= 8 * WIDE_WORDS:
-            return links
-        roots = components(links)
-        rooted = long.join(roots, long["id"] == roots["node"], "left").select("id", "list_no", "k", F.coalesce("root", "id").alias("r"))
-        rooted = materialize(rooted, "long-rooted")
-        mixed = rooted.groupBy("k").agg(F.min("r").alias("a"), F.max("r").alias("b")).filter("a < b").select("k")
-        mixed = materialize(rooted.join(materialize(mixed, "long-mixed"), "k").select("id", "list_no", "k"), "long-open")
-        if mixed.isEmpty():
-            return links
-        pairs, long = posting_pairs(finer_postings(mixed, fps, level), cap, f"finer-{level}")
-        met = _near(_apart(pairs, roots), fps, far, f"finer-{level}")
-        level += 1
+    entries: prefix_entries. Postings of at most ``cap`` entries make all their pairs. In longer ones every
+    entry first meets a hub, another one in each posting and round; the rest of them is left."""
+    e = entries.filter("slots > 0").select("id", "n", F.size("s").alias("m"), F.posexplode(F.slice("s", 1, F.col("slots"))).alias("i", "k"))
+    index = materialize(e.select("k", "id", "n", (F.col("n") - F.col("m") + F.col("i") + 1).alias("i")), "prefixes")
+    sizes = materialize(index.groupBy("k").agg(F.count(F.lit(1)).alias("c")).filter("c > 1"), "prefix-sizes")
+    some = index.join(sizes.filter(f"c <= {cap}").select("k"), "k").groupBy("k").agg(F.sort_array(F.collect_list(F.struct("id", "n", "i"))).alias("l"))
+    some = some.select(F.posexplode("l").alias("i", "u"), "l").select("u", F.explode(F.slice("l", F.col("i") + 2, cap)).alias("v"))
+    pairs = materialize(some.filter(_possible(F.col("u"), F.col("v"), similarity)).select("u.id", F.col("v.id").alias("v")).toDF("u", "v").distinct(), "prefix-pairs")
+    links = materialize(similar_pairs(pairs, entries, similarity), "links")
+    long = materialize(index.join(sizes.filter(f"c > {cap}").select("k"), "k").select("k", "id"), "long")
+    if long.isEmpty():
+        return links
+    for no in range(HUB_ROUNDS):
+        mixed = _mixed(long, links)
+        hubs = mixed.groupBy("k").agg(F.min_by(F.struct("id", "root"), F.xxhash64("k", "id", F.lit(no))).alias("hub"))
+        met = mixed.join(hubs, "k").filter(F.col("root") != F.col("hub.root"))
+        met = materialize(met.select(F.least("id", "hub.id").alias("u"), F.greatest("id", "hub.id").alias("v")).distinct(), "hub-pairs")
+        links = materialize(links.unionByName(similar_pairs(met, entries, similarity)), "links")
+    return links
 
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = SHINGLE, max_bits: int = MAX_BITS) -> DataFrame:
@@ -329,21 +307,22 @@ def _component_ids(fps: DataFrame, linked: DataFrame) -> DataFrame:
 
 def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
     """Rows (doc_id, component_id): groups of texts that share ``similarity`` of their five-word shingles or more.
-    Copies, and texts with the same 256 bits, are one entry."""
+    Texts of the same shingles are one entry."""
 
     def run(batches):
         for batch in batches:
             for lo in range(0, batch.num_rows, 512):
-                part = batch.slice(lo, 512)
-                w = [wide_fingerprint(t) for t in part.column(2).to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(w, pa.list_(pa.int64()))], ["doc_id", "rid", "w"])
+                keys = [shingle_keys(t) for t in batch.column(1).slice(lo, 512).to_pylist()]
+                cols = [pa.array([_entry(k) for k in keys], pa.int64()), pa.array([len(k) for k in keys], pa.int64())]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, 512), *cols], ["doc_id", "fp", "n"])
 
     d = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"))
-    d = d.select("doc_id", F.xxhash64("doc_id", "text").alias("rid"), "text")
-    rows = materialize(d.mapInArrow(run, "doc_id long, rid long, w array<long>").withColumn("fp", F.xxhash64("w")), "wide-fingerprints")
-    fps = rows.groupBy("fp").agg(F.min("doc_id").alias("least"), F.min("rid").alias("rid"), F.first("w").alias("w"))
-    fps = materialize(fps, "wide-distinct")
-    found = wide_links(fps.select(F.col("fp").alias("id"), "w", "rid"), d.select("rid", "text"), similarity)
+    rows = materialize(d.mapInArrow(run, "doc_id long, fp long, n long"), "entries")
+    fps = materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("least"), F.first("n").alias("n")), "distinct-entries")
+    n_keys = fps.agg(F.sum("n")).first()[0] or 0
+    shared = shared_keys(d, max(8, -(-n_keys // BUCKET_KEYS)))
+    entries = materialize(prefix_entries(shared, similarity), "prefix-entries")
+    found = wide_links(entries, similarity)
     return rows.select("doc_id", "fp").join(_component_ids(fps.select("fp", "least"), found), "fp").select("doc_id", "component_id")
 
 

@@ -150,3 +150,43 @@ def test_stage_keeps_one_of_each_similar_group(spark, clashing):
     assert out.columns == clashing.columns and out.count() < clashing.count()
     assert simhash.drop_near_copies(clashing.limit(0)).count() == 0
     assert simhash.bits_at(0.8, 256) == 38
+
+
+def brute_groups(texts, similarity=0.8):
+    """Components of all pairs of texts that are that similar in five-word shingles: least number of each."""
+    sets = [frozenset(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) for w in (t.split() for t in texts)]
+    root = list(range(len(texts)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for b in range(len(texts)):
+        for a in range(b):
+            if len(sets[a] & sets[b]) >= similarity * len(sets[a] | sets[b]):
+                x, y = find(a), find(b)
+                root[max(x, y)] = min(x, y)
+    return {i: find(i) for i in range(len(texts))}
+
+
+def groups_of(spark, texts):
+    df = spark.createDataFrame([(i, t, None, None, 0) for i, t in enumerate(texts)], SCHEMA).repartition(3)
+    return {r.doc_id: r.component_id for r in simhash.similar_groups(df).collect()}
+
+
+def words_of(rng, n):
+    return ["".join(rng.choice("abcdefghij") for _ in range(7)) for _ in range(n)]
+
+
+def test_stage_finds_all_pairs_just_above_the_similarity(spark):
+    rng = random.Random(6)
+    texts = []
+    for i in range(120):
+        base = words_of(rng, 304)
+        n = 20 + i % 18
+        copy = base[:-n] + words_of(rng, n)  # 0.78 to 0.875
+        texts += [" ".join(base), " ".join(copy)]
+    want = brute_groups(texts)
+    assert 80 < len(texts) - len(set(want.values())) < 120
+    assert groups_of(spark, texts) == want
