@@ -130,8 +130,8 @@ def links(fps: DataFrame, max_bits: int = MAX_BITS, cap: int = POSTING_CAP) -> D
 
 
 #: Stage form: words in a shingle, bits of a shingle's key, keys in a bucket that are counted at once, rounds of hubs for
-#: long postings.
-WIDE_SHINGLE, KEY_BITS, BUCKET_KEYS, HUB_ROUNDS = 5, 40, 2_000_000, 2
+#: long postings, and entries of a block that are compared with those of another.
+WIDE_SHINGLE, KEY_BITS, BUCKET_KEYS, HUB_ROUNDS, BLOCK = 5, 40, 2_000_000, 2, 256
 SIMILARITY = 0.8
 
 
@@ -257,11 +257,52 @@ def _mixed(long: DataFrame, links: DataFrame) -> DataFrame:
     return materialize(rooted.join(mixed, "k"), "long-mixed")
 
 
-def wide_links(entries: DataFrame, similarity: float = SIMILARITY, cap: int = POSTING_CAP) -> DataFrame:
-    """Rows (u, v): links whose components are those of the similar pairs that meet.
+def block_links(mixed: DataFrame, entries: DataFrame, similarity: float, block: int = BLOCK) -> DataFrame:
+    """Rows (u, v): of the similar pairs in a posting whose ends have different roots, one at least for every two roots.
+
+    Entries of a posting's most frequent root are joined already. All others are dealt into blocks, and every
+    such block meets every block of all its entries."""
+
+    def compare(table: pa.Table) -> pa.Table:
+        table = table.combine_chunks()
+        side = table["side"].to_numpy()
+        lists = table["s"].combine_chunks()
+        sizes = np.diff(lists.offsets.to_numpy())
+        _, column = np.unique(lists.flatten().to_numpy(), return_inverse=True)
+        row = np.repeat(np.arange(len(sizes)), sizes)
+        order = np.argsort(column, kind="stable")
+        row, column = row[order], column[order]
+        left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+        both = np.zeros((len(left), len(right)), np.float32)
+        for lo in range(0, int(column[-1]) + 1 if len(column) else 0, 4096):
+            x, y = np.searchsorted(column, [lo, lo + 4096])
+            has = np.zeros((len(sizes), 4096), np.float32)
+            has[row[x:y], column[x:y] - lo] = 1
+            both += has[left] @ has[right].T
+        n, root, ids = table["n"].to_numpy().astype(np.int64), table["root"].to_numpy(), table["id"].to_numpy()
+        alike = _alike(both.astype(np.float64), n[left][:, None], n[right][None, :], similarity)
+        i, j = np.nonzero(alike & (root[left][:, None] != root[right][None, :]))
+        i, j = left[i], right[j]
+        _, first = np.unique(np.stack([root[i], root[j]], axis=1), axis=0, return_index=True)
+        u, v = ids[i[first]], ids[j[first]]
+        return pa.table({"u": np.minimum(u, v), "v": np.maximum(u, v)})
+
+    counts = mixed.groupBy("k", "root").agg(F.count(F.lit(1)).alias("c"))
+    most = counts.groupBy("k").agg(F.max_by("root", F.struct("c", "root")).alias("most"), F.sum("c").alias("all"), (F.sum("c") - F.max("c")).alias("rest"))
+    d = mixed.join(most, "k").select("k", "id", "root", "most", *[F.ceil(F.col(c) / block).cast("int").alias(f"n_{c}") for c in ("rest", "all")])
+    mine = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
+    every = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    left = d.filter("root <> most").select("k", "id", "root", F.lit(0).alias("side"), mine("n_rest").alias("a"), F.explode(every("n_all")).alias("b"))
+    right = d.select("k", "id", "root", F.lit(1).alias("side"), mine("n_all").alias("b"), F.explode(every("n_rest")).alias("a"))
+    dealt = left.unionByName(right).join(entries.select("id", "n", "s"), "id")
+    return dealt.groupBy("k", "a", "b").applyInArrow(compare, "u long, v long").distinct()
+
+
+def wide_links(entries: DataFrame, similarity: float = SIMILARITY, cap: int = POSTING_CAP, block: int = BLOCK) -> DataFrame:
+    """Rows (u, v): links whose components are those of all similar pairs.
 
     entries: prefix_entries. Postings of at most ``cap`` entries make all their pairs. In longer ones every
-    entry first meets a hub, another one in each posting and round; the rest of them is left."""
+    entry first meets a hub, another one in each posting and round; what that has not joined is compared whole."""
     e = entries.filter("slots > 0").select("id", "n", F.size("s").alias("m"), F.posexplode(F.slice("s", 1, F.col("slots"))).alias("i", "k"))
     index = materialize(e.select("k", "id", "n", (F.col("n") - F.col("m") + F.col("i") + 1).alias("i")), "prefixes")
     sizes = materialize(index.groupBy("k").agg(F.count(F.lit(1)).alias("c")).filter("c > 1"), "prefix-sizes")
@@ -278,7 +319,7 @@ def wide_links(entries: DataFrame, similarity: float = SIMILARITY, cap: int = PO
         met = mixed.join(hubs, "k").filter(F.col("root") != F.col("hub.root"))
         met = materialize(met.select(F.least("id", "hub.id").alias("u"), F.greatest("id", "hub.id").alias("v")).distinct(), "hub-pairs")
         links = materialize(links.unionByName(similar_pairs(met, entries, similarity)), "links")
-    return links
+    return links.unionByName(materialize(block_links(_mixed(long, links), entries, similarity, block), "block-links"))
 
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = SHINGLE, max_bits: int = MAX_BITS) -> DataFrame:

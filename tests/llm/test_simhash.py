@@ -190,3 +190,34 @@ def test_stage_finds_all_pairs_just_above_the_similarity(spark):
     want = brute_groups(texts)
     assert 80 < len(texts) - len(set(want.values())) < 120
     assert groups_of(spark, texts) == want
+
+
+def test_stage_finds_all_pairs_among_texts_that_share_long_passages(spark):
+    """Postings beyond any cap: of texts like a hub, unlike each other, and unlike all."""
+    rng = random.Random(8)
+    licence, texts = words_of(rng, 204), []
+    for i in range(250):
+        own = words_of(rng, 60)
+        texts.append(" ".join(licence + own))
+        if i % 5 == 0:
+            texts.append(" ".join(licence + own[:38] + words_of(rng, 22)))
+    parts = [[" ".join(words_of(rng, 9)) for _ in range(3)] for _ in range(12)]
+    texts += [" ".join(p[0 if rng.random() < 0.8 else rng.randrange(3)] for p in parts) for _ in range(300)]
+    want = brute_groups(texts)
+    assert len(set(want.values())) > 200
+    assert groups_of(spark, texts) == want
+
+
+def test_links_at_small_caps_and_blocks_have_the_components_of_all_pairs(spark):
+    rng = random.Random(9)
+    parts = [[" ".join(words_of(rng, 9)) for _ in range(3)] for _ in range(12)]
+    texts = sorted({" ".join(p[0 if rng.random() < 0.7 else rng.randrange(3)] for p in parts) for _ in range(200)})
+    root = brute_groups(texts)
+    want = sorted(sorted(i for i in root if root[i] == r) for r in set(root.values()))
+    at = {simhash._entry(simhash.shingle_keys(t)): i for i, t in enumerate(texts)}
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    entries = simhash.materialize(simhash.prefix_entries(simhash.shared_keys(df, 3), 0.8), "test-entries")
+    for cap, block in ((2, 3), (5, 256)):
+        found = {at[r.node]: at[r.root] for r in components.components(simhash.wide_links(entries, 0.8, cap, block)).collect()}
+        got = [found.get(i, i) for i in range(len(texts))]
+        assert sorted(sorted(i for i in root if got[i] == r) for r in set(got)) == want
