@@ -221,3 +221,15 @@ def test_links_at_small_caps_and_blocks_have_the_components_of_all_pairs(spark):
         found = {at[r.node]: at[r.root] for r in components.components(simhash.wide_links(entries, 0.8, cap, block)).collect()}
         got = [found.get(i, i) for i in range(len(texts))]
         assert sorted(sorted(i for i in root if got[i] == r) for r in set(got)) == want
+
+
+def test_stage_finds_short_near_copies(spark):
+    rng = random.Random(10)
+    texts = []
+    for i in range(80):
+        base = words_of(rng, (8, 9, 10, 16)[i % 4])  # 4 shingles against 5, 5 against 6, 6 against 7, 12 against 15
+        texts += [" ".join(base), " ".join(base + words_of(rng, 3 if i % 4 == 3 else 1))]
+    texts += ["one two", "one two three", "one  TWO"]
+    want = brute_groups([t.lower() for t in texts])
+    assert len(texts) - len(set(want.values())) == 81
+    assert groups_of(spark, texts) == want
