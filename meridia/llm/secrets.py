@@ -7,7 +7,7 @@ matches, end to end, are the text, so running sums of lengths give every start.
 The method then looks at candidate values over the whole corpus: the values of base
 findings, and long mixed tokens (upper case, lower case and digits) that no pattern names.
 Each value is aggregated by distinct repositories (documents) and owners (sources). A value
-that many owners have is a copied example; one that few owners have looks live. Mixed
+that many owners or many repositories have is a copied example; one that few of both have looks live. Mixed
 tokens that look live add spans of kind ``token``; base spans always stay, and each
 document gets the number of its live-looking and of its widely copied base values.
 
@@ -35,8 +35,8 @@ KINDS = (
 #: With so many least characters, the pattern finds the same runs and skips the short ones.
 FAST = {"hex": r"[0-9a-f]{32,}", "access": r"AKIA[A-Z0-9]{12,}"}
 TOKEN = ("token", r"(?<![A-Za-z0-9_-])(?=[a-z0-9_-]*[A-Z])(?=[A-Z0-9_-]*[a-z])(?=[A-Za-z_-]*[0-9])[A-Za-z0-9_-]{20,}", 0, 20)
-#: A value of more owners than this is a copied example.
-MAX_OWNERS = 2
+#: A value of more owners, or of more repositories, than these is a copied example.
+MAX_OWNERS, MAX_REPOS = 2, 10
 
 _SPAN = "array<struct<start:int,kind:int,stop:int,value:long>>"
 
@@ -92,13 +92,13 @@ def ownership(found: DataFrame) -> DataFrame:
     return owners.groupBy("value").agg(F.count(F.lit(1)).alias("n_owners"), F.sum("n").alias("n_repos"))
 
 
-def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", max_owners: int = MAX_OWNERS) -> DataFrame:
+def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", max_owners: int = MAX_OWNERS, max_repos: int = MAX_REPOS) -> DataFrame:
     """Rows (doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_live, n_copied), one per document."""
     found = materialize(scan(docs, id_col, text_col, owner_col), "findings")
     freq = materialize(ownership(found), "ownership")
     some = found.filter(F.size("base") + F.size("extra") > 0)
     spans = some.select("row_no", F.explode(F.concat("base", "extra")).alias("s")).select("row_no", "s", F.col("s.value").alias("value"))
-    live = F.col("n_owners") <= max_owners
+    live = (F.col("n_owners") <= max_owners) & (F.col("n_repos") <= max_repos)
     is_base = F.col("s.kind") < len(KINDS)
     by_row = (
         spans.join(freq, "value")

@@ -50,3 +50,12 @@ def test_ownership_separates_examples_from_live_values(spark):
 
 def test_secrets_empty_table(empty):
     assert secrets.find_secrets(empty).count() == 0
+
+
+def test_a_value_of_many_repositories_of_one_owner_is_no_live_one(spark):
+    many, few = "Abcdefgh12345678ijklmnop", "Zyxwvut98765432SRQPonml"
+    rows = [(i, f"see {many} password=examplepass1", None, "hot", 0) for i in range(secrets.MAX_REPOS + 1)]
+    rows += [(100 + i, f"see {few} password=examplepass2", None, "hot", 0) for i in range(secrets.MAX_REPOS)]
+    got = as_dict(secrets.find_secrets(spark.createDataFrame(rows, SCHEMA).repartition(3)))
+    assert "token" not in got[0]["spans"] and (got[0]["n_live"], got[0]["n_copied"]) == (0, 1)
+    assert "token" in got[100]["spans"] and (got[100]["n_live"], got[100]["n_copied"]) == (1, 0)
