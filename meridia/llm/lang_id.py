@@ -27,8 +27,8 @@ from pyspark.sql import functions as F
 
 from .common import bounded_sample
 
-#: Longest piece in characters, with the sign for a word's start.
-MAX_PIECE = 9
+#: Longest piece of the public vocabulary in characters, with the sign for a word's start.
+MAX_PIECE = 16
 #: Chance of a character that is no piece.
 UNKNOWN = 1e-7
 SAMPLE_ROWS = 256
@@ -49,7 +49,9 @@ def vocabulary(model_file: str) -> list[str]:
 
     model = sentencepiece.SentencePieceProcessor(model_file=model_file)
     pieces = {model.id_to_piece(i) for i in range(model.get_piece_size()) if not (model.is_control(i) or model.is_byte(i) or model.is_unknown(i))}
-    fits = {p for p in pieces if len(p) <= MAX_PIECE and p == p.lower() and p.lstrip(_START).isalpha() and _START not in p[1:]}
+    fits = {p for p in pieces if p == p.lower() and p.lstrip(_START).isalpha() and _START not in p[1:]}
+    if max(map(len, fits), default=0) > MAX_PIECE:
+        raise ValueError("a piece is longer than MAX_PIECE")
     return sorted(fits | {_START})
 
 

@@ -170,3 +170,15 @@ def test_long_texts_are_scored_whole(spark):
     codes = quality.trigrams(t)
     want = (float(table[codes].sum(dtype=np.float64)) + quality.PRIOR_CHARS * 1.0) / (len(codes) + quality.PRIOR_CHARS)
     assert abs(quality.mean_nll(t, table, 1.0) - want) < 1e-6
+
+
+def test_long_pieces_are_in_the_vocabulary_and_the_sums():
+    pieces = lang_id.vocabulary(P.path("piece_bpe_32k.model"))
+    assert {"▁something", "▁government", "▁information", "translation"} <= set(pieces)
+    long = max(pieces, key=len)
+    some = sorted({lang_id._START, *"abcdefghijklmnopqrstuvwxyz", long})
+    model = lang_id.Model(["x"], lang_id.Pieces(some), np.full((len(some) + 1, 1), 0.01))
+    word = long.lstrip("▁")
+    got, _ = model.forward([word])
+    whole = math.log(0.01 ** (len(word) + 1) + (0.01 if long[0] == "▁" else 0.01 ** 2))
+    assert abs(got[0, 0] - whole) < 1e-9
