@@ -85,6 +85,30 @@ def drop_scratch(df_paths: list[str], spark: SparkSession) -> None:
             _drop(spark, path)
 
 
+class Scratch:
+    """Tables of materialize() that are deleted on leaving the ``with`` block."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark = spark
+        self.paths: list[str] = []
+
+    def keep(self, df: DataFrame, name: str) -> DataFrame:
+        kept = materialize(df, name)
+        self.paths.append(_scratch[-1])
+        return kept
+
+    def drop(self, n: int) -> None:
+        """Deletes all but the n newest tables."""
+        old, self.paths = self.paths[: len(self.paths) - n], self.paths[len(self.paths) - n :]
+        drop_scratch(old, self.spark)
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, *_) -> None:
+        self.drop(0)
+
+
 def text_or_empty(col: str = "text"):
     return F.coalesce(F.col(col), F.lit(""))
 

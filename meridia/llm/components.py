@@ -8,16 +8,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import Scratch, materialize
 
 
-def _star(edges: DataFrame, large: bool) -> DataFrame:
+def _star(edges: DataFrame, large: bool, scratch: Scratch) -> DataFrame:
     """edges (u, v), u > v. Large: larger neighbours go to the least; small: lesser ones do."""
     both = edges.select("u", "v")
     if large:
         both = both.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     # Written first, so that both sides of the join are plain exchanges: a hub's rows can then be split.
-    least = materialize(both.groupBy("u").agg(F.min("v").alias("v")).select("u", F.least("u", "v").alias("m")), "least")
+    least = scratch.keep(both.groupBy("u").agg(F.min("v").alias("v")).select("u", F.least("u", "v").alias("m")), "least")
     joined = both.join(least, "u")
     if large:
         moved = joined.filter(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v"))
@@ -34,11 +34,13 @@ def components(edges: DataFrame) -> DataFrame:
     """Rows (node, root), root the least node that the node reaches; roots themselves are left out.
 
     edges: rows (u, v) of longs, any order, repeats and loops allowed."""
-    now = materialize(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u > v").distinct(), "edges")
-    state = _state(now)
-    while state[0]:
-        now = materialize(_star(materialize(_star(now, True), "large"), False), "small")
-        before, state = state, _state(now)
-        if state == before:
-            break
-    return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
+    with Scratch(edges.sparkSession) as scratch:
+        now = scratch.keep(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u > v").distinct(), "edges")
+        state = _state(now)
+        while state[0]:
+            now = scratch.keep(_star(scratch.keep(_star(now, True, scratch), "large"), False, scratch), "small")
+            scratch.drop(1)
+            before, state = state, _state(now)
+            if state == before:
+                break
+        return materialize(now.select(F.col("u").alias("node"), F.col("v").alias("root")), "components")

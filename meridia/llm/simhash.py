@@ -15,21 +15,15 @@ changes of them, and two of them meet under one such entry if and only if they d
 in at most two bits; an entry holds 33 at most, and a star to the least of them links them.
 Components of the links come from large-star and small-star steps.
 
-The stage form (similar_groups, drop_near_copies) finds the texts of similarity 0.8 in five-word shingles,
-which fingerprints can't tell: it is an exact join of the shingle sets, and no SimHash. Each set's rarest
-shingles (a fifth of it, and one) are its prefix; two similar sets share one of these. Pairs that meet in a posting
-of a prefix's shingle have their common shingles counted. Shingles are told apart by 40 bits of their hashes.
+The pipeline's stage takes similarity 0.8 in five-word shingles, which fingerprints can't tell: see shingle_join.
 
 Defined results: null text has no words; documents without words have fingerprint zero
 and link like any other; component_id is the smallest doc_id, null ones aside; repeated
-rows each get a result row. An empty table gives no rows. Extra columns are ignored
-(near_dedup) or kept (drop_near_copies).
+rows each get a result row. An empty table gives no rows. Extra columns are ignored.
 """
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -129,199 +123,6 @@ def links(fps: DataFrame, max_bits: int = MAX_BITS, cap: int = POSTING_CAP) -> D
     return verified.unionByName(stars).distinct()
 
 
-#: Stage form: words in a shingle, bits of a shingle's key, keys in a bucket that are counted at once, rounds of hubs for
-#: long postings, and entries of a block that are compared with those of another.
-WIDE_SHINGLE, KEY_BITS, BUCKET_KEYS, HUB_ROUNDS, BLOCK = 5, 40, 2_000_000, 2, 256
-SIMILARITY = 0.8
-
-
-def bits_at(similarity: float, bits: int, deviations: float = 0.0) -> int:
-    """Differing bits of two fingerprints, in expectation, at a Jaccard similarity of equally large shingle sets, plus
-    so many standard deviations."""
-    p = math.acos(2 * similarity / (1 + similarity)) / math.pi
-    return int(bits * p + deviations * math.sqrt(bits * p * (1 - p)))
-
-
-def shingle_hashes(text: str | None, words: int = WIDE_SHINGLE) -> np.ndarray:
-    """Hashes of the distinct shingles; fewer words than a shingle has are one, none are none."""
-    w = (text or "").encode().lower().split()
-    shingles = {b" ".join(w[i : i + words]) for i in range(max(1, len(w) - words + 1))} if w else ()
-    return np.fromiter((xxhash.xxh64_intdigest(s, SEED) for s in shingles), np.uint64)
-
-
-def shingle_keys(text: str | None) -> np.ndarray:
-    """The distinct keys of a text's shingles, sorted."""
-    return np.unique(shingle_hashes(text) >> np.uint64(64 - KEY_BITS)).astype(np.int64)
-
-
-def _entry(keys: np.ndarray) -> int:
-    return xxhash.xxh64_intdigest(keys.tobytes(), SEED) - (1 << 63)
-
-
-def _lists(values: np.ndarray, stops: np.ndarray, kind: pa.DataType) -> pa.Array:
-    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], stops]), pa.int32()), pa.array(values, kind))
-
-
-def shared_keys(texts: DataFrame, buckets: int) -> DataFrame:
-    """Rows (id, n, keys, dfs), several for each entry: its keys that other entries have too, and how many have them.
-
-    texts: (text). n: number of all keys. Copies are one entry, and only its first in a task is sent on."""
-
-    def deal(batches):
-        seen = set()
-        for batch in batches:
-            for lo in range(0, batch.num_rows, 256):
-                out = {"bucket": [], "id": [], "n": [], "size": [], "keys": []}
-                for t in batch.column(0).slice(lo, 256).to_pylist():
-                    keys = shingle_keys(t)
-                    entry = _entry(keys)
-                    if entry in seen or not len(keys):
-                        continue
-                    seen.add(entry)
-                    b = keys * buckets >> KEY_BITS  # sorted, as the keys are
-                    at, size = np.unique(b, return_counts=True)
-                    out["bucket"].append(at)
-                    out["size"].append(size)
-                    out["keys"].append(keys)
-                    out["id"].append(np.full(len(at), entry, np.int64))
-                    out["n"].append(np.full(len(at), len(keys), np.int32))
-                if out["id"]:
-                    c = {k: np.concatenate(v) for k, v in out.items()}
-                    keys = _lists(c["keys"], np.cumsum(c["size"]), pa.int64())
-                    yield pa.RecordBatch.from_arrays([pa.array(c["bucket"], pa.int64()), pa.array(c["id"]), pa.array(c["n"]), keys], ["bucket", "id", "n", "keys"])
-
-    def count(table: pa.Table) -> pa.Table:
-        table = table.combine_chunks()
-        ids, at = np.unique(table["id"].to_numpy(), return_index=True)  # repeated entries have equal rows
-        table = table.take(pa.array(at)).combine_chunks()
-        lists = table["keys"].combine_chunks()
-        sizes = np.diff(lists.offsets.to_numpy())
-        _, inverse, counts = np.unique(lists.flatten().to_numpy(), return_inverse=True, return_counts=True)
-        df = counts[inverse]
-        kept = np.add.reduceat(df > 1, np.cumsum(sizes) - sizes) if len(sizes) else sizes
-        some, stops = kept > 0, np.cumsum(kept[kept > 0])
-        keys, dfs = _lists(lists.flatten().to_numpy()[df > 1], stops, pa.int64()), _lists(df[df > 1], stops, pa.int32())
-        return pa.table({"id": ids[some], "n": table["n"].to_numpy()[some], "keys": keys, "dfs": dfs})
-
-    dealt = texts.select("text").mapInArrow(deal, "bucket long, id long, n int, keys array<long>")
-    return dealt.groupBy("bucket").applyInArrow(count, "id long, n int, keys array<long>, dfs array<int>")
-
-
-def prefix_entries(shared: DataFrame, similarity: float) -> DataFrame:
-    """Rows (id, n, s, slots) of the entries that can have a similar one. s: the shared keys, those of fewest entries
-    first; of them, ``slots`` are in the prefix.
-
-    Two sets of that similarity share at least that part of each, so in any common order of all keys
-    the first n - least + 1 keys of each hold a common one. Keys of one entry alone come first in the
-    order and meet nothing: an entry with too many of them has no slot."""
-
-    def rank(batches):
-        for batch in batches:
-            keys, dfs, n = batch.column(2), batch.column(3), batch.column(1).to_numpy()
-            sizes = np.diff(keys.offsets.to_numpy())
-            flat, df = keys.flatten().to_numpy(), dfs.flatten().to_numpy()
-            order = np.lexsort((flat, df, np.repeat(np.arange(len(sizes)), sizes)))
-            slots = sizes - np.ceil(similarity * n - 1e-9).astype(np.int64) + 1
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), _lists(flat[order], np.cumsum(sizes), pa.int64()), pa.array(slots, pa.int32())], ["id", "n", "s", "slots"])
-
-    pairs = F.collect_list(F.struct("keys", "dfs")).alias("p")
-    whole = shared.groupBy("id").agg(F.first("n").alias("n"), pairs).select("id", "n", F.flatten("p.keys").alias("keys"), F.flatten("p.dfs").alias("dfs"))
-    whole = whole.filter(F.size("keys") >= F.col("n") * similarity - 1e-9)
-    return whole.mapInArrow(rank, "id long, n int, s array<long>, slots int")
-
-
-def _alike(both, m, n, similarity: float):
-    """Whether sets of m and n keys, ``both`` of them common, are that similar."""
-    return both * (1 + similarity) >= (m + n) * similarity - 1e-9
-
-
-def _possible(a: Column, b: Column, similarity: float) -> Column:
-    """Whether two entries (id, n, i) can be similar that have a common key as the i-th of all their keys."""
-    most = F.least(a["i"], b["i"]) + F.least(a["n"] - a["i"], b["n"] - b["i"])
-    return _alike(most, a["n"], b["n"], similarity)
-
-
-def similar_pairs(pairs: DataFrame, entries: DataFrame, similarity: float) -> DataFrame:
-    """The pairs (u, v) whose sets are that similar; counted, not estimated."""
-    a, b = (entries.select(F.col("id").alias(x), F.col("n").alias(f"n{x}"), F.col("s").alias(f"s{x}")) for x in "uv")
-    both = F.size(F.array_intersect("su", "sv"))
-    return pairs.join(a, "u").join(b, "v").filter(_alike(both, F.col("nu"), F.col("nv"), similarity)).select("u", "v")
-
-
-def _mixed(long: DataFrame, links: DataFrame) -> DataFrame:
-    """Rows (k, id, root) of the long postings whose entries the links don't join into one."""
-    roots = components(links)
-    rooted = long.join(roots, long["id"] == roots["node"], "left").select("k", "id", F.coalesce("root", "id").alias("root"))
-    rooted = materialize(rooted, "long-rooted")
-    mixed = rooted.groupBy("k").agg(F.min("root").alias("a"), F.max("root").alias("b")).filter("a < b").select("k")
-    return materialize(rooted.join(mixed, "k"), "long-mixed")
-
-
-def block_links(mixed: DataFrame, entries: DataFrame, similarity: float, block: int = BLOCK) -> DataFrame:
-    """Rows (u, v): of the similar pairs in a posting whose ends have different roots, one at least for every two roots.
-
-    Entries of a posting's most frequent root are joined already. All others are dealt into blocks, and every
-    such block meets every block of all its entries."""
-
-    def compare(table: pa.Table) -> pa.Table:
-        table = table.combine_chunks()
-        side = table["side"].to_numpy()
-        lists = table["s"].combine_chunks()
-        sizes = np.diff(lists.offsets.to_numpy())
-        _, column = np.unique(lists.flatten().to_numpy(), return_inverse=True)
-        row = np.repeat(np.arange(len(sizes)), sizes)
-        order = np.argsort(column, kind="stable")
-        row, column = row[order], column[order]
-        left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
-        both = np.zeros((len(left), len(right)), np.float32)
-        for lo in range(0, int(column[-1]) + 1 if len(column) else 0, 4096):
-            x, y = np.searchsorted(column, [lo, lo + 4096])
-            has = np.zeros((len(sizes), 4096), np.float32)
-            has[row[x:y], column[x:y] - lo] = 1
-            both += has[left] @ has[right].T
-        n, root, ids = table["n"].to_numpy().astype(np.int64), table["root"].to_numpy(), table["id"].to_numpy()
-        alike = _alike(both.astype(np.float64), n[left][:, None], n[right][None, :], similarity)
-        i, j = np.nonzero(alike & (root[left][:, None] != root[right][None, :]))
-        i, j = left[i], right[j]
-        _, first = np.unique(np.stack([root[i], root[j]], axis=1), axis=0, return_index=True)
-        u, v = ids[i[first]], ids[j[first]]
-        return pa.table({"u": np.minimum(u, v), "v": np.maximum(u, v)})
-
-    counts = mixed.groupBy("k", "root").agg(F.count(F.lit(1)).alias("c"))
-    most = counts.groupBy("k").agg(F.max_by("root", F.struct("c", "root")).alias("most"), F.sum("c").alias("all"), (F.sum("c") - F.max("c")).alias("rest"))
-    d = mixed.join(most, "k").select("k", "id", "root", "most", *[F.ceil(F.col(c) / block).cast("int").alias(f"n_{c}") for c in ("rest", "all")])
-    mine = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
-    every = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
-    left = d.filter("root <> most").select("k", "id", "root", F.lit(0).alias("side"), mine("n_rest").alias("a"), F.explode(every("n_all")).alias("b"))
-    right = d.select("k", "id", "root", F.lit(1).alias("side"), mine("n_all").alias("b"), F.explode(every("n_rest")).alias("a"))
-    dealt = left.unionByName(right).join(entries.select("id", "n", "s"), "id")
-    return dealt.groupBy("k", "a", "b").applyInArrow(compare, "u long, v long").distinct()
-
-
-def wide_links(entries: DataFrame, similarity: float = SIMILARITY, cap: int = POSTING_CAP, block: int = BLOCK) -> DataFrame:
-    """Rows (u, v): links whose components are those of all similar pairs.
-
-    entries: prefix_entries. Postings of at most ``cap`` entries make all their pairs. In longer ones every
-    entry first meets a hub, another one in each posting and round; what that has not joined is compared whole."""
-    e = entries.filter("slots > 0").select("id", "n", F.size("s").alias("m"), F.posexplode(F.slice("s", 1, F.col("slots"))).alias("i", "k"))
-    index = materialize(e.select("k", "id", "n", (F.col("n") - F.col("m") + F.col("i") + 1).alias("i")), "prefixes")
-    sizes = materialize(index.groupBy("k").agg(F.count(F.lit(1)).alias("c")).filter("c > 1"), "prefix-sizes")
-    some = index.join(sizes.filter(f"c <= {cap}").select("k"), "k").groupBy("k").agg(F.sort_array(F.collect_list(F.struct("id", "n", "i"))).alias("l"))
-    some = some.select(F.posexplode("l").alias("i", "u"), "l").select("u", F.explode(F.slice("l", F.col("i") + 2, cap)).alias("v"))
-    pairs = materialize(some.filter(_possible(F.col("u"), F.col("v"), similarity)).select("u.id", F.col("v.id").alias("v")).toDF("u", "v").distinct(), "prefix-pairs")
-    links = materialize(similar_pairs(pairs, entries, similarity), "links")
-    long = materialize(index.join(sizes.filter(f"c > {cap}").select("k"), "k").select("k", "id"), "long")
-    if long.isEmpty():
-        return links
-    for no in range(HUB_ROUNDS):
-        mixed = _mixed(long, links)
-        hubs = mixed.groupBy("k").agg(F.min_by(F.struct("id", "root"), F.xxhash64("k", "id", F.lit(no))).alias("hub"))
-        met = mixed.join(hubs, "k").filter(F.col("root") != F.col("hub.root"))
-        met = materialize(met.select(F.least("id", "hub.id").alias("u"), F.greatest("id", "hub.id").alias("v")).distinct(), "hub-pairs")
-        links = materialize(links.unionByName(similar_pairs(met, entries, similarity)), "links")
-    return links.unionByName(materialize(block_links(_mixed(long, links), entries, similarity, block), "block-links"))
-
-
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = SHINGLE, max_bits: int = MAX_BITS) -> DataFrame:
     """Rows (doc_id, fingerprint, component_id), one per document."""
     rows = materialize(fingerprints(docs, id_col, text_col, words), "fingerprints")
@@ -344,39 +145,3 @@ def _component_ids(fps: DataFrame, linked: DataFrame) -> DataFrame:
     several = roots.select("root").distinct()
     least = materialize(rooted.join(several, "root", "left_semi").groupBy("root").agg(F.min("least").alias("component_id")), "least-ids")
     return materialize(rooted.join(least, "root", "left").select("fp", F.coalesce("component_id", "least").alias("component_id")), "labels")
-
-
-def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
-    """Rows (doc_id, component_id): groups of texts that share ``similarity`` of their five-word shingles or more.
-    Texts of the same shingles are one entry."""
-
-    def run(batches):
-        for batch in batches:
-            for lo in range(0, batch.num_rows, 512):
-                keys = [shingle_keys(t) for t in batch.column(1).slice(lo, 512).to_pylist()]
-                cols = [pa.array([_entry(k) for k in keys], pa.int64()), pa.array([len(k) for k in keys], pa.int64())]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, 512), *cols], ["doc_id", "fp", "n"])
-
-    d = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"))
-    rows = materialize(d.mapInArrow(run, "doc_id long, fp long, n long"), "entries")
-    fps = materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("least"), F.first("n").alias("n")), "distinct-entries")
-    n_keys = fps.agg(F.sum("n")).first()[0] or 0
-    shared = shared_keys(d, max(8, -(-n_keys // BUCKET_KEYS)))
-    entries = materialize(prefix_entries(shared, similarity), "prefix-entries")
-    found = wide_links(entries, similarity)
-    return rows.select("doc_id", "fp").join(_component_ids(fps.select("fp", "least"), found), "fp").select("doc_id", "component_id")
-
-
-def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
-    """docs with one document of each group of similar texts: the one with the smallest doc_id.
-
-    Rows that repeat that doc_id are reduced to one; rows without doc_id stay as they are if
-    their group has no doc_id at all."""
-    labelled = materialize(similar_groups(docs, id_col, text_col, similarity), "groups")
-    keep = materialize(labelled.select(F.col("component_id").alias("__keep")).filter("__keep IS NOT NULL").distinct(), "kept-ids")
-    bare = labelled.filter("component_id IS NULL").limit(1).count() > 0
-    # Always a merge join: the kept ids grow with the input.
-    kept = docs.join(keep.hint("merge"), docs[id_col].cast("long") == keep["__keep"], "left_semi").dropDuplicates([id_col])
-    if bare:
-        kept = kept.unionByName(docs.filter(docs[id_col].isNull()))
-    return kept

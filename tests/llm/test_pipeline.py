@@ -3,7 +3,7 @@ import hashlib
 import public_tokenizers as P
 
 import corpus_pipeline
-from meridia.llm import bpe_codec, line_dedup, mixing, quality, simhash
+from meridia.llm import bpe_codec, line_dedup, mixing, quality, shingle_join
 
 from .test_language_and_quality import quality_rows
 
@@ -26,7 +26,7 @@ def test_run_is_its_stages(spark, tmp_path):
     assert {r.doc_id for r in kept}.isdisjoint({i for i, *_ in junk})
     lines = line_dedup.drop_lines(spark.createDataFrame(kept, docs.schema)).collect()
     assert sum(line in (r.text or "") for r in lines) == 1
-    near = simhash.drop_near_copies(spark.createDataFrame(lines, docs.schema)).collect()
+    near = shingle_join.drop_near_copies(spark.createDataFrame(lines, docs.schema)).collect()
     assert {r.doc_id for r in near}.isdisjoint(range(3000, 3005))
     mixed = mixing.mix_documents(spark.createDataFrame(near, docs.schema)).collect()
     enc = bpe_codec.encoding(P.path("byte_bpe_multi_50k.tiktoken"), P.PATTERN)
