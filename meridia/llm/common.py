@@ -6,7 +6,7 @@ import atexit
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: White space in every text rule of this subpackage: space, tab, LF, VT, FF, CR.
@@ -92,8 +92,8 @@ class Scratch:
         self.spark = spark
         self.paths: list[str] = []
 
-    def keep(self, df: DataFrame, name: str) -> DataFrame:
-        kept = materialize(df, name)
+    def keep(self, df: DataFrame, name: str, partition_by: list[str] | None = None) -> DataFrame:
+        kept = materialize(df, name, partition_by)
         self.paths.append(_scratch[-1])
         return kept
 
@@ -113,6 +113,12 @@ def text_or_empty(col: str = "text"):
     return F.coalesce(F.col(col), F.lit(""))
 
 
+def row_key(doc_id: Column, text: Column) -> tuple[Column, Column]:
+    """Two hashes that tell a row apart by its id and text."""
+    doc_id = doc_id.cast("long")
+    return F.xxhash64(doc_id, text), F.xxhash64(F.lit(7), text, doc_id)
+
+
 def n_words(col):
     """Number of words; null counts as none."""
     return F.coalesce(F.regexp_count(col, F.lit(WORD_RE)), F.lit(0)).cast("long")

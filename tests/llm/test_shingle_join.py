@@ -93,8 +93,8 @@ def test_links_at_small_caps_and_blocks_have_the_components_of_all_pairs(spark):
     texts = sorted({" ".join(p[0 if rng.random() < 0.7 else rng.randrange(3)] for p in parts) for _ in range(200)})
     root = brute_groups(texts)
     want = sorted(sorted(i for i in root if root[i] == r) for r in set(root.values()))
-    at = {shingle_join.entry_id(shingle_join.shingle_keys(t))[0]: i for i, t in enumerate(texts)}
-    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    df = spark.createDataFrame([(t,) for t in texts], "text string").select(shingle_join.entry_ids(F.col("text"))[0].alias("id"), "text")
+    at = {r.id: texts.index(r.text) for r in df.collect()}
     for cap, block in ((2, 3), (5, 256)):
         with Scratch(spark) as scratch:
             roots = components.components(shingle_join.similar_links(df, scratch, 0.8, cap, block)).collect()
@@ -153,3 +153,26 @@ def test_sketch_counts_in_one_level_and_two(spark):
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", "4")
     assert (one == two).all() and (one > 0).sum() in range(690, 701) and one.max() < 30
+
+
+def test_keys_tell_shingles_apart_and_nothing_else():
+    rng = random.Random(13)
+    words = ["a", "b", "ab", "A", "é", "É", "x" * 300, "😀", "b.", "\u00a0", "ba"]
+    for n in [0, 1, 3, 4, 5, 6, 9, 40, 700]:
+        for _ in range(20):
+            w = [rng.choice(words) for _ in range(n)]
+            text = rng.choice(["", " ", "\n\t"]) + "".join(x + rng.choice([" ", "  ", "\r\n", "\t\x0b\x0c"]) for x in w)
+            low = [x.replace("A", "a") for x in w]
+            want = {tuple(low[i : i + 5]) for i in range(max(1, n - 4))} if n else set()
+            keys = shingle_join.shingle_keys(text)
+            assert len(keys) == len(want)
+            assert (keys == shingle_join.shingle_keys(" ".join(low), piece=3)).all()
+    assert len(shingle_join.shingle_keys(None)) == 0
+
+
+def test_a_text_of_a_million_words():
+    rng = random.Random(14)
+    w = [str(rng.randrange(10**9)) for _ in range(1_000_000)]
+    a, b = shingle_join.shingle_keys(" ".join(w)), shingle_join.shingle_keys(" ".join(w[500_000:]))
+    assert len(a) == 999_996 and set(b.tolist()) <= set(a.tolist())
+    assert len(shingle_join.shingle_keys("x" * 10_000_000 + " y")) == 1
