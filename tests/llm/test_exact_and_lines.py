@@ -80,11 +80,34 @@ def test_drop_lines_keeps_columns(clashing, rows):
 
 
 def test_runs_compact_and_find_new_lines(spark):
-    runs = line_dedup.LineRuns(spark, fanout=2)
-    batch = lambda *keys: spark.createDataFrame([(d, h, 0) for d, h in keys], "doc_id long, h1 long, h2 long")
-    runs.add(batch((1, 7), (2, 7), (2, 8)))
-    assert {r.h1 for r in runs.new_lines(batch((3, 7), (3, 9))).collect()} == {9}
-    runs.add(batch((3, 7), (3, 9)))
-    runs.add(batch((4, 9)))
-    assert [len(x) for x in runs.levels] == [1, 1]
-    assert {(r.h1, r.n_docs, r.last_doc) for r in runs.rows().collect()} == {(7, 3, 3), (8, 1, 2), (9, 2, 4)}
+    with line_dedup.LineRuns(spark, fanout=2) as runs:
+        batch = lambda *keys: spark.createDataFrame([(d, h, 0) for d, h in keys], "doc_id long, h1 long, h2 long")
+        runs.add(batch((9, 7), (8, 7), (8, 7), (8, 8)))
+        assert {r.h1 for r in runs.new_lines(batch((7, 7), (7, 9))).collect()} == {9}
+        runs.add(batch((7, 7), (7, 9)))
+        runs.add(batch((6, 9), (None, 9)))
+        assert [len(x) for x in runs.levels] == [1, 1]
+        assert {(r.h1, r.n_docs, r.last_doc) for r in runs.rows().collect()} == {(7, 3, 9), (8, 1, 8), (9, 3, 7)}
+        assert "Exchange" not in runs.new_lines(runs.rows())._jdf.queryExecution().executedPlan().toString()
+
+
+def test_rows_of_one_document_count_once(spark):
+    line = "a line that is certainly longer than forty characters"
+    df = spark.createDataFrame([(1, f"{line}\nx{i}", None, None, 0) for i in range(4)] + [(2, line, None, None, 0)], SCHEMA)
+    assert sum(r.n_dropped for r in line_dedup.line_dedup(df).collect()) == 0
+    more = df.union(spark.createDataFrame([(None, line, None, None, 0), (None, line + "\nz", None, None, 0), (3, f"{line}\n{line}", None, None, 0), (4, line.upper(), None, None, 0)], SCHEMA))
+    got = line_dedup.line_dedup(more).collect()
+    assert sorted((r.doc_id or 0, r.n_dropped) for r in got) == [(0, 1), (0, 1), (1, 1), (1, 1), (1, 1), (1, 1), (2, 1), (3, 2), (4, 0)]
+
+
+def test_very_long_texts_and_few_hot_keys(spark):
+    """100,000 lines in one text, every other one dropped; one key is hot, the others take the join."""
+    shared = [f"shared line number {i} with more than forty characters in it" for i in range(3)]
+    rows = [(i, "\n".join(shared), None, None, 0) for i in range(5)]
+    rows += [(-1, "\n".join(x for i in range(50_000) for x in (shared[i % 3], str(i))), None, None, 0)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    for hot in (1, 1000):
+        got = as_dict(line_dedup.line_dedup(df, hot_keys=hot))
+        assert got[-1]["n_lines"] == 100_000 and got[-1]["n_dropped"] == 50_000
+        assert got[-1]["kept_sha256"] == hashlib.sha256("\n".join(map(str, range(50_000))).encode()).hexdigest()
+        assert [got[i]["n_dropped"] for i in range(5)] == [3, 3, 3, 3, 0]
