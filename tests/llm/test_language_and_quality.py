@@ -9,6 +9,8 @@ import pytest
 
 from meridia.llm import lang_id, quality
 
+from meridia.llm.common import Scratch
+
 from .conftest import as_dict
 
 MODEL = P.path("piece_bpe_32k.model")
@@ -122,16 +124,49 @@ def brute_kneser_ney(train):
     return p
 
 
-def test_table_is_kneser_ney(spark):
+def test_model_is_kneser_ney(spark):
     train = ["the anin of thea", "of the ou\nthe", "thea thea blé"]
-    table = quality.train(spark.createDataFrame([(t,) for t in train], "text string").repartition(2))
     p = brute_kneser_ney(train)
     s = quality.SYMBOLS
     rng = random.Random(0)
     codes = sorted({int(c) for t in train for c in quality.trigrams(t)}) + [rng.randrange(s**3) for _ in range(60)]
-    for c in codes:
-        assert abs(table[c] + math.log(max(1e-12, p(c // s**2, c // s % s, c % s)))) < 1e-4
-    assert abs(np.exp(-table.reshape(s, s, s).astype(float)).sum(axis=2) - 1).max() < 1e-3
+    x, y = (int(v) for v in divmod(quality.trigrams("th")[1] // s, s))
+    codes += [(x * s + y) * s + z for z in range(s)]
+    grams = spark.createDataFrame([(c // s**2, c // s % s, c % s) for c in sorted(set(codes))], "a long, b long, c long")
+    with Scratch(spark) as scratch:
+        model = quality.train(spark.createDataFrame([(t,) for t in train], "text string").repartition(2), scratch)
+        got = {(r.a, r.b, r.c): r.p for r in model.price(grams).collect()}
+    assert len(got) == len(set(codes))
+    for k, v in got.items():
+        assert abs(v - p(*k)) < 1e-9
+    assert abs(sum(got[x, y, z] for z in range(s)) - 1) < 1e-9
+
+
+def test_perplexity_threshold_and_kept_agree_with_brute_force(spark):
+    rng = random.Random(5)
+    word = lambda: rng.choice(["the", "of", "anin", "ou", "naïve", "blé", "zq"])
+    rows = [(i, " ".join(word() for _ in range(rng.randint(1, 12))), ("en", "de", "fr", None)[i % 4]) for i in range(60)]
+    rows += [(100, "x" * 300, "en"), (101, None, "en"), (102, "the of", "xx"), (103, "#!$" * 20, "de"), (104, "", None)]
+    labels = [(i, 1, 0) for i in range(0, 60, 2)] + [(1, 1, 1), (3, 0, 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    got = as_dict(quality.classify(docs, spark.createDataFrame(labels, "doc_id long, quality int, toxic int"), quantile=0.8, min_trusted=12, chunk_chars=300))
+    trusted = [r for r in rows if r[0] < 60 and r[0] % 2 == 0]
+    p, s = brute_kneser_ney([t for _, t, _ in trusted]), quality.SYMBOLS
+    nll = lambda t: sum(-math.log(p(int(c) // s**2, int(c) // s % s, int(c) % s)) for c in quality.trigrams(t or ""))
+    prior = sum(nll(t) for _, t, _ in trusted) / sum(len(t) for _, t, _ in trusted)
+    score = {i: (nll(t) + 64 * prior) / (len(t or "") + 64) for i, t, _ in rows}
+
+    def limit(lang):
+        own = [i for i, _, g in trusted if g == lang and lang is not None]
+        own = own if len(own) >= 12 else [i for i, *_ in trusted]
+        steps = sorted(math.floor(score[i] * 1000) for i in own)
+        return steps[math.ceil(len(steps) * 0.8) - 1]
+
+    for i, _, lang in rows:
+        assert abs(got[i]["perplexity"] - math.exp(score[i])) < 1e-9 * math.exp(score[i])
+        assert abs(got[i]["threshold"] - math.exp((limit(lang) + 1) / 1000)) < 1e-9
+        assert got[i]["kept"] == (math.floor(score[i] * 1000) <= limit(lang))
+    assert not got[103]["kept"] and got[101]["kept"] and 3 < sum(not r["kept"] for r in got.values()) < 30
 
 
 def quality_rows():
@@ -165,11 +200,8 @@ def test_quality_without_labels_or_rows(spark, docs, empty):
 
 
 def test_long_texts_are_scored_whole(spark):
-    table = quality.train(spark.createDataFrame([("the of and",)], "text string"))
     t = "the of and " * 120_000
-    codes = quality.trigrams(t)
-    want = (float(table[codes].sum(dtype=np.float64)) + quality.PRIOR_CHARS * 1.0) / (len(codes) + quality.PRIOR_CHARS)
-    assert abs(quality.mean_nll(t, table, 1.0) - want) < 1e-6
+    assert np.array_equal(np.concatenate(list(quality._pieces(t))), quality.trigrams(t))
 
 
 def test_long_pieces_are_in_the_vocabulary_and_the_sums():
