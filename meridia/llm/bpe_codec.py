@@ -7,7 +7,8 @@ only look-ahead is for what follows white space. So the pieces have, end to end,
 matches of the whole text, and memory is bounded by the piece.
 
 Defined results: null text is an empty text (no ids); decoding gives back the
-UTF-8 bytes of the text. Other columns of the input are ignored.
+UTF-8 bytes of the text; null doc_ids and repeated rows each get a result row; an empty table gives
+no rows. Other columns of the input are ignored, whatever their names.
 """
 
 from __future__ import annotations

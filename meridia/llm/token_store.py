@@ -7,15 +7,19 @@ Each row is a block of whole documents in ascending doc_id order:
     shard, block   place in the order; shards are ranges of doc_id
     base           ids of the shard before this block
     n_docs, n_ids  size of the block
-    doc_ids        the documents' ids
+    n_null, first  documents without doc_id, which come first, and the first doc_id of the others
+    doc_*          Elias-Fano code of the other doc_ids, less the first
     width, ids     the concatenated token ids, little-endian unsigned, 2 or 4 bytes each
-    low_bits, low, high, samples
-                   Elias-Fano code of the documents' end offsets in `ids`
+    end_*          Elias-Fano code of the documents' end offsets in `ids`
 
 Elias-Fano: of each end offset the lower `low_bits` bits are packed in `low`; the
 upper parts are a unary bit string in `high` (bit `upper + i` set for offset i), about
 2 + log2(n_ids / n_docs) bits a document in all. `samples` holds the bit place of each
-SAMPLE-th one, so that select reads one sample and then scans a short way.
+SAMPLE-th one, so that select reads one sample and then scans a short way. Reading a store selects
+each document's end; no table of 64-bit offsets or ids is kept.
+
+Strings of special tokens in a text give the special token's id, as the tokenizers library does by default;
+``ordinary=True`` makes them ordinary text.
 
 Defined results: null text is an empty document, so only its end id; null doc_ids
 come first; equal doc_ids are ordered by a hash of their texts; an empty table gives a
@@ -42,8 +46,8 @@ BLOCK_IDS = 1 << 20
 #: Entries of the worker's cache of encoded chunks, and the longest chunk that it keeps.
 CACHE_ENTRIES, CACHE_CHARS = 700_000, 64
 BLOCK_SCHEMA = (
-    "shard int, block int, base long, n_docs int, n_ids long, doc_ids array<long>, width int, ids binary, "
-    "low_bits int, low binary, high binary, samples binary"
+    "shard int, block int, base long, n_docs int, n_ids long, n_null int, first long, width int, ids binary, "
+    "doc_low_bits int, doc_low binary, doc_high binary, doc_samples binary, end_low_bits int, end_low binary, end_high binary, end_samples binary"
 )
 
 
@@ -57,20 +61,19 @@ class EliasFano:
         self._samples = np.frombuffer(samples, "<u4")
 
     @classmethod
-    def build(cls, ends: np.ndarray) -> EliasFano:
-        n = len(ends)
+    def build(cls, values: np.ndarray) -> EliasFano:
+        n = len(values)
         if n == 0:
             return cls(0, 0, b"", b"", b"")
-        ends = ends.astype(np.uint64)
-        universe = int(ends[-1])
-        low_bits = max(0, (universe // n).bit_length() - 1)
-        upper = (ends >> np.uint64(low_bits)).astype(np.int64) + np.arange(n)
+        values = values.astype(np.uint64)
+        low_bits = max(0, (int(values[-1]) // n).bit_length() - 1)
+        upper = (values >> np.uint64(low_bits)).astype(np.int64) + np.arange(n)
         bits = np.zeros(int(upper[-1]) + 1, np.uint8)
         bits[upper] = 1
         low = b""
         if low_bits:
             shifts = np.arange(low_bits, dtype=np.uint64)
-            low = np.packbits(((ends[:, None] >> shifts) & np.uint64(1)).astype(np.uint8).ravel(), bitorder="little").tobytes()
+            low = np.packbits(((values[:, None] >> shifts) & np.uint64(1)).astype(np.uint8).ravel(), bitorder="little").tobytes()
         return cls(n, low_bits, low, np.packbits(bits, bitorder="little").tobytes(), upper[::SAMPLE].astype("<u4").tobytes())
 
     def parts(self) -> tuple[int, bytes, bytes, bytes]:
@@ -94,11 +97,11 @@ class EliasFano:
 
     def all(self) -> np.ndarray:
         """All offsets at once."""
-        upper = np.flatnonzero(np.unpackbits(self._high, bitorder="little"))[: self.n] - np.arange(self.n)
+        upper = (np.flatnonzero(np.unpackbits(self._high, bitorder="little"))[: self.n] - np.arange(self.n)).astype(np.uint64)
         if not self.low_bits:
             return upper
         bits = np.unpackbits(self._low, bitorder="little")[: self.n * self.low_bits].reshape(self.n, self.low_bits)
-        return (upper << self.low_bits) + bits.astype(np.int64) @ (1 << np.arange(self.low_bits, dtype=np.int64))
+        return (upper << np.uint64(self.low_bits)) + (bits.astype(np.uint64) << np.arange(self.low_bits, dtype=np.uint64)).sum(axis=1, dtype=np.uint64)
 
 
 #: White space other than space and line feed.
@@ -121,14 +124,17 @@ class ChunkEncoder:
     often than they are new; a new one that is a single match of the pattern goes to the
     library's merges straight away, without the steps around them."""
 
-    def __init__(self, tokenizer_file: str):
+    def __init__(self, tokenizer_file: str, ordinary: bool = False):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(tokenizer_file)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.tokenizer.encode_special_tokens = ordinary
+        added = {} if ordinary else {t.content: i for i, t in self.tokenizer.get_added_tokens_decoder().items()}
+        self.added = re.compile("(" + "|".join(map(re.escape, sorted(added, key=len, reverse=True))) + ")") if added else None
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         self.code = "H" if self.dtype.itemsize == 2 else "I"
-        self.cache: dict[str, bytes] = {}
+        self.special = {c: np.array([i], self.dtype).tobytes() for c, i in added.items()}
+        self.cache: dict[str, bytes] = dict(self.special)
 
     def _encode(self, chunks: list[str]) -> list[bytes]:
         out: list[bytes] = [b""] * len(chunks)
@@ -145,6 +151,12 @@ class ChunkEncoder:
                 out[i] = np.array(x.ids, self.dtype).tobytes()
         return out
 
+    def split(self, text: str) -> list[str]:
+        """Chunks of the text; special tokens, where they count as such, are chunks of their own."""
+        if self.added is None or not self.added.search(text):
+            return self.chunks(text)
+        return [c for at, part in enumerate(self.added.split(text)) for c in ([part] if at % 2 else self.chunks(part))]
+
     @staticmethod
     def chunks(text: str) -> list[str]:
         if not text:
@@ -155,9 +167,10 @@ class ChunkEncoder:
         return _STOP.sub("\x00\\1", text).replace(" ", "\x00 ").replace("\n", "\x00\n\x00").split("\x00")
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        cut = [self.chunks(t or "") for t in texts]
+        cut = [self.split(t or "") for t in texts]
         if len(self.cache) > CACHE_ENTRIES:
             self.cache.clear()
+            self.cache.update(self.special)
         known = self.cache
         new = list({c for one in cut for c in one if c not in known})
         own: dict[str, bytes] = {}
@@ -172,29 +185,36 @@ class ChunkEncoder:
 
 
 @functools.lru_cache(maxsize=2)
-def _encoder(tokenizer_file: str) -> ChunkEncoder:
+def _encoder(tokenizer_file: str, ordinary: bool) -> ChunkEncoder:
     """One for each worker process."""
     import os
 
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    return ChunkEncoder(tokenizer_file)
+    return ChunkEncoder(tokenizer_file, ordinary)
+
+
+def _code(name: str, code: EliasFano) -> dict[str, pa.Array]:
+    low_bits, *parts = code.parts()
+    named = {f"{name}_{part}": pa.array([x], pa.binary()) for part, x in zip(("low", "high", "samples"), parts)}
+    return {f"{name}_low_bits": pa.array([low_bits], pa.int32()), **named}
 
 
 def _block(shard: int, block: int, base: int, doc_ids: list, parts: list[bytes], width: int) -> pa.RecordBatch:
     ends = np.cumsum([len(p) // width for p in parts], dtype=np.int64)
-    low_bits, low, high, samples = EliasFano.build(ends).parts()
+    known = [i for i in doc_ids if i is not None]
+    first = known[0] if known else 0
     row = {
         "shard": pa.array([shard], pa.int32()), "block": pa.array([block], pa.int32()), "base": pa.array([base], pa.int64()),
         "n_docs": pa.array([len(parts)], pa.int32()), "n_ids": pa.array([int(ends[-1])], pa.int64()),
-        "doc_ids": pa.array([doc_ids], pa.list_(pa.int64())), "width": pa.array([width], pa.int32()),
-        "ids": pa.array([b"".join(parts)], pa.binary()), "low_bits": pa.array([low_bits], pa.int32()),
-        "low": pa.array([low], pa.binary()), "high": pa.array([high], pa.binary()), "samples": pa.array([samples], pa.binary()),
+        "n_null": pa.array([len(doc_ids) - len(known)], pa.int32()), "first": pa.array([first], pa.int64()),
+        "width": pa.array([width], pa.int32()), "ids": pa.array([b"".join(parts)], pa.binary()),
+        **_code("doc", EliasFano.build(np.array([i - first for i in known], np.uint64))), **_code("end", EliasFano.build(ends)),
     }
     return pa.RecordBatch.from_arrays(list(row.values()), list(row))
 
 
 def write_store(docs: DataFrame, path: str, tokenizer_file: str, id_col: str = "doc_id", text_col: str = "text",
-                end_id: int = 0, block_ids: int = BLOCK_IDS) -> None:
+                end_id: int = 0, block_ids: int = BLOCK_IDS, ordinary: bool = False) -> None:
     """Writes the tokens of all documents in ascending doc_id order as a store at ``path``.
 
     One range shuffle of the texts; tokenising comes after it, once."""
@@ -204,7 +224,7 @@ def write_store(docs: DataFrame, path: str, tokenizer_file: str, id_col: str = "
     def run(batches):
         from pyspark import TaskContext
 
-        encoder = _encoder(tokenizer_file)
+        encoder = _encoder(tokenizer_file, ordinary)
         width, end = encoder.dtype.itemsize, np.array([end_id], encoder.dtype).tobytes()
         shard, block, base, size = TaskContext.get().partitionId(), 0, 0, 0
         doc_ids: list = []
@@ -248,23 +268,27 @@ def read_store(spark, path: str) -> DataFrame:
 
 def store_documents(spark, path: str) -> DataFrame:
     """Rows (doc_id, start, n_tokens, ids_crc32), one per document, read from a store."""
+    names = [c.split()[0] for c in BLOCK_SCHEMA.split(", ") if c.split()[0] not in ("shard", "block", "base", "n_ids")]
 
     def run(batches):
         for batch in batches:
             for row in range(batch.num_rows):
-                r = {k: batch.column(k)[row].as_py() for k in ("start", "n_docs", "doc_ids", "width", "ids", "low_bits", "low", "high", "samples")}
-                ends = EliasFano(r["n_docs"], r["low_bits"], r["low"], r["high"], r["samples"]).all()
-                starts = np.concatenate([[0], ends[:-1]])
+                r = {k: batch.column(k)[row].as_py() for k in ["start", *names]}
+                n, n_null = r["n_docs"], r["n_null"]
+                code = lambda name, n: EliasFano(n, *(r[f"{name}_{x}"] for x in ("low_bits", "low", "high", "samples")))
+                end, doc = code("end", n), code("doc", n - n_null)
                 ids = np.frombuffer(r["ids"], "<u2" if r["width"] == 2 else "<u4")
-                crc = [zlib.crc32(ids[a:b].astype("<u4").tobytes()) for a, b in zip(starts.tolist(), ends.tolist())]
+                stops = [end.select(i) for i in range(n)]
+                starts = [0, *stops[:-1]]
+                doc_ids = [None] * n_null + [r["first"] + int(x) for x in doc.all()]
+                crc = [zlib.crc32(ids[a:b].astype("<u4").tobytes()) for a, b in zip(starts, stops)]
+                lo, hi = np.array(starts, np.int64), np.array(stops, np.int64)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(r["doc_ids"], pa.int64()), pa.array(starts + r["start"]), pa.array(ends - starts), pa.array(crc, pa.int64())],
+                    [pa.array(doc_ids, pa.int64()), pa.array(lo + r["start"]), pa.array(hi - lo), pa.array(crc, pa.int64())],
                     ["doc_id", "start", "n_tokens", "ids_crc32"],
                 )
 
-    return read_store(spark, path).select("start", "n_docs", "doc_ids", "width", "ids", "low_bits", "low", "high", "samples").mapInArrow(
-        run, "doc_id long, start long, n_tokens long, ids_crc32 long"
-    )
+    return read_store(spark, path).select("start", *names).mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def token_store(docs: DataFrame, tokenizer_file: str, path: str | None = None) -> DataFrame:
