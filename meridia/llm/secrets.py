@@ -16,7 +16,9 @@ map-side combination, so one value in a third of all rows meets no single task.
 and never shuffled.
 
 Defined results: null text is empty (no spans; base_sha256 is that of the empty string);
-null owner or repository counts as one of its own; repeated rows are the same repository.
+null owner or repository counts as one of its own; repeated rows are the same repository, and each gets a result
+row; an empty table gives no rows; other columns are ignored, whatever their names; whole texts are scanned, in time
+that grows with their length and with the findings of a text to the power 1.5.
 """
 
 from __future__ import annotations
@@ -36,11 +38,16 @@ KINDS = (
 FAST = {"hex": r"[0-9a-f]{32,}", "access": r"AKIA[A-Z0-9]{12,}"}
 TOKEN = ("token", r"(?<![A-Za-z0-9_-])(?=[a-z0-9_-]*[A-Z])(?=[A-Z0-9_-]*[a-z])(?=[A-Za-z_-]*[0-9])[A-Za-z0-9_-]{20,}", 0, 20)
 #: A value of more owners, or of more repositories, than these is a copied example.
-MAX_OWNERS, MAX_REPOS = 2, 10
+MAX_OWNERS, MAX_REPOS, HOT_VALUES = 2, 10, 1000
 
 _SPAN = "array<struct<start:int,kind:int,stop:int,value:long>>"
 
 
+def _let(value: Column, body) -> Column:
+    """body of a value that is computed once: an expression in a lambda is computed anew in each call."""
+    return F.transform(F.array(value), body)[0]
+
+
 def _spans(text: Column, no: int, pattern: str, group: int, least: int) -> Column:
     """The findings of one kind as structs (start, kind, stop, hash of the value)."""
     whole = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
@@ -50,7 +57,7 @@ def _spans(text: Column, no: int, pattern: str, group: int, least: int) -> Colum
         F.arrays_zip(whole.alias("m"), value.alias("v")), gaps,
         lambda a, gap: F.struct(F.length(gap).alias("gap"), F.length(a["m"]).alias("size"), F.length(a["v"]).alias("n"), F.xxhash64(a["v"]).alias("value")),
     )
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(_SPAN).alias("found"))
+    matched = F.filter(triples, lambda x: x["size"].isNotNull())
 
     def step(acc, x):
         at = acc["at"] + x["gap"]
@@ -60,8 +67,22 @@ def _spans(text: Column, no: int, pattern: str, group: int, least: int) -> Colum
             F.when(x["n"] >= least, F.concat(acc["found"], F.array(one))).otherwise(acc["found"]).alias("found"),
         )
 
-    matched = F.filter(triples, lambda x: x["size"].isNotNull())
-    found = F.aggregate(matched, start, step, lambda acc: acc["found"])
+    def spans_of(part, offset):
+        start = F.struct(offset.alias("at"), F.array().cast(_SPAN).alias("found"))
+        return F.aggregate(part, start, step, lambda acc: acc["found"])
+
+    # Running sums in two levels, by parts of about the square root of the findings: an array that grows
+    # one by one is copied each time, so one level would be quadratic.
+    def parted(m):
+        n = F.ceil(F.sqrt(F.size(m))).cast("int")
+        return _let(n, lambda n: F.transform(F.sequence(F.lit(0), F.greatest(n, F.lit(1)) - 1), lambda j: F.slice(m, j * n + 1, n)))
+
+    def placed(parts):
+        sums = F.transform(parts, lambda part: F.aggregate(part, F.lit(0), lambda acc, x: acc + x["gap"] + x["size"]))
+        offsets = F.aggregate(sums, F.array(F.lit(0)), lambda acc, x: F.concat(acc, F.array(F.element_at(acc, -1) + x)))
+        return F.flatten(F.zip_with(parts, F.slice(offsets, 1, F.size(parts)), spans_of))
+
+    found = _let(matched, lambda m: _let(parted(m), placed))
     return F.when(F.regexp_like(text, F.lit(pattern)), found).otherwise(F.array().cast(_SPAN))
 
 
@@ -92,7 +113,7 @@ def ownership(found: DataFrame) -> DataFrame:
     return owners.groupBy("value").agg(F.count(F.lit(1)).alias("n_owners"), F.sum("n").alias("n_repos"))
 
 
-def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", max_owners: int = MAX_OWNERS, max_repos: int = MAX_REPOS) -> DataFrame:
+def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", max_owners: int = MAX_OWNERS, max_repos: int = MAX_REPOS, hot_values: int = HOT_VALUES) -> DataFrame:
     """Rows (doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_live, n_copied), one per document."""
     found = materialize(scan(docs, id_col, text_col, owner_col), "findings")
     freq = materialize(ownership(found), "ownership")
@@ -100,9 +121,12 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     spans = some.select("row_no", F.explode(F.concat("base", "extra")).alias("s")).select("row_no", "s", F.col("s.value").alias("value"))
     live = (F.col("n_owners") <= max_owners) & (F.col("n_repos") <= max_repos)
     is_base = F.col("s.kind") < len(KINDS)
+    # The HOT_VALUES values of most repositories are broadcast; any other has at most a HOT_VALUES-th of all spans.
+    hot = materialize(freq.orderBy(F.desc("n_repos"), "value").limit(hot_values), "hot-values")
+    names = F.broadcast(hot.select("value"))
+    rated = spans.join(F.broadcast(hot), "value").unionByName(spans.join(names, "value", "left_anti").join(freq, "value"))
     by_row = (
-        spans.join(freq, "value")
-        .groupBy("row_no")
+        rated.groupBy("row_no")
         .agg(
             F.count(F.when(is_base & live, 1)).alias("n_live"),
             F.count(F.when(is_base & ~live, 1)).alias("n_copied"),
