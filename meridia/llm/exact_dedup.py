@@ -5,7 +5,7 @@ A Misra-Gries pass (Spark's ``freqItems`` aggregate) names at most ``1 / support
 digests that may hold more than ``support`` of the rows; one exact count verifies
 them. The winners (a table of at most ``1 / support`` rows) are broadcast, so that
 rows of huge groups never meet in a shuffle; every other group holds at most
-``support`` of the rows and takes the ordinary shuffle on its digest.
+``support`` of the rows and takes the ordinary shuffle on its digest, aggregated before it.
 
 Defined results: null text counts as empty; all empty texts are one group; the row
 with the longest original text stays, then the smallest doc_id (null last); of
@@ -15,7 +15,7 @@ Only the named id and text columns are read, so extra columns can't clash.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import WS, materialize, text_or_empty
@@ -46,8 +46,9 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     winners = materialize(counted.filter(F.col("group_size") > max(1, int(total * support))), "winners")
     hot = rows.join(F.broadcast(winners), "digest")
     rest = rows.join(F.broadcast(winners.select("digest")), "digest", "left_anti")
-    by_digest = Window.partitionBy("digest")
-    rest = rest.withColumns({"group_size": F.count(F.lit(1)).over(by_digest), "w": _winner().over(by_digest)})
+    # Groups are counted before the shuffle, then joined row by row: no task holds a group.
+    groups = rest.groupBy("digest").agg(F.count(F.lit(1)).alias("group_size"), _winner().alias("w"))
+    rest = rest.join(groups, "digest")
     return hot.unionByName(rest).select(
         "doc_id",
         F.col("w.doc_id").alias("keep_id"),
