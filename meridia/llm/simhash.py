@@ -30,10 +30,12 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import Scratch, materialize
 from .components import components
 
 SEED, SHINGLE, MAX_BITS, SHARED, POSTING_CAP = 42, 3, 2, 6, 16
+#: A fingerprint of more than this part of the rows is hot.
+SUPPORT = 0.001
 _CHUNK = 1 << 16
 
 
@@ -94,16 +96,16 @@ def shared_bytes(a: Column, b: Column) -> Column:
     return sum((F.when(F.shiftrightunsigned(x, 8 * i).bitwiseAND(255) == 0, 1).otherwise(0) for i in range(8)), F.lit(0))
 
 
-def links(fps: DataFrame, max_bits: int = MAX_BITS, cap: int = POSTING_CAP) -> DataFrame:
+def links(fps: DataFrame, scratch: Scratch, max_bits: int = MAX_BITS, cap: int = POSTING_CAP) -> DataFrame:
     """Rows (u, v): links whose components are those of all pairs within ``max_bits`` (2 at most).
 
     fps: distinct fp."""
     if max_bits > 2:
         raise ValueError("two whole blocks are only guaranteed for up to two differing bits")
-    index = materialize(postings(fps), "postings")
+    index = scratch.keep(postings(fps), "postings")
     key = ["list_no", "bytes"]
     sizes = index.groupBy(*key).agg(F.count(F.lit(1)).alias("n"), F.min("fp").alias("u"), F.max("fp").alias("v"))
-    sizes = materialize(sizes.filter("n > 1"), "posting-sizes")
+    sizes = scratch.keep(sizes.filter("n > 1"), "posting-sizes")
     couples = sizes.filter("n = 2").select("u", "v")
     some = index.join(sizes.filter(f"n > 2 AND n <= {cap}").select(*key), key)
     listed = some.groupBy(*key).agg(F.sort_array(F.collect_list("fp")).alias("l"))  # cap entries at most
@@ -123,25 +125,27 @@ def links(fps: DataFrame, max_bits: int = MAX_BITS, cap: int = POSTING_CAP) -> D
     return verified.unionByName(stars).distinct()
 
 
-def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = SHINGLE, max_bits: int = MAX_BITS) -> DataFrame:
-    """Rows (doc_id, fingerprint, component_id), one per document."""
-    rows = materialize(fingerprints(docs, id_col, text_col, words), "fingerprints")
-    label = _labels(rows, max_bits)
-    return rows.join(label, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = SHINGLE, max_bits: int = MAX_BITS, support: float = SUPPORT) -> DataFrame:
+    """Rows (doc_id, fingerprint, component_id), one per document.
 
+    Fingerprints of more than ``support`` of the rows, 1 / support at most, get their component by a broadcast, so
+    that no group of copies meets in one task."""
+    with Scratch(docs.sparkSession) as scratch:
+        rows = materialize(fingerprints(docs, id_col, text_col, words), "fingerprints")
+        fps = scratch.keep(rows.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n")), "distinct-fps")
+        label = materialize(_component_ids(fps, links(fps.select("fp"), scratch, max_bits), scratch), "labels")
+        n = fps.agg(F.sum("n")).first()[0] or 0
+    hot = label.filter(F.col("n") > max(1, int(n * support))).drop("n")
+    often = rows.join(F.broadcast(hot), "fp")
+    rest = rows.join(F.broadcast(hot.select("fp")), "fp", "left_anti").join(label.drop("n"), "fp")
+    return often.unionByName(rest).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
-def _labels(rows: DataFrame, max_bits: int) -> DataFrame:
-    """Rows (fp, component_id)."""
-    fps = materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct-fps")
-    return _component_ids(fps, links(fps.select("fp"), max_bits))
 
-
-def _component_ids(fps: DataFrame, linked: DataFrame) -> DataFrame:
-    """Rows (fp, component_id): the least doc_id of all that the links (u, v) join. fps: fp, least."""
+def _component_ids(fps: DataFrame, linked: DataFrame, scratch: Scratch) -> DataFrame:
+    """Rows (fp, n, component_id): the least doc_id of all that the links (u, v) join. fps: fp, least, n."""
     roots = components(linked)
-    rooted = fps.join(roots, fps["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    rooted = materialize(rooted, "rooted")
+    rooted = scratch.keep(fps.join(roots, fps["fp"] == roots["node"], "left").select("fp", "least", "n", F.coalesce("root", "fp").alias("root")), "rooted")
     # Only components of several fingerprints need the least doc_id of all of them.
     several = roots.select("root").distinct()
-    least = materialize(rooted.join(several, "root", "left_semi").groupBy("root").agg(F.min("least").alias("component_id")), "least-ids")
-    return materialize(rooted.join(least, "root", "left").select("fp", F.coalesce("component_id", "least").alias("component_id")), "labels")
+    least = scratch.keep(rooted.join(several, "root", "left_semi").groupBy("root").agg(F.min("least").alias("component_id")), "least-ids")
+    return rooted.join(least, "root", "left").select("fp", "n", F.coalesce("component_id", "least").alias("component_id"))
