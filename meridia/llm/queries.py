@@ -98,4 +98,35 @@ ORACLE_SQL: dict[str, str] = {
         FROM d
         WINDOW w AS (PARTITION BY h ORDER BY length(t) DESC, doc_id NULLS LAST)
     """,
+    "op9_secrets": r"""
+        WITH d AS (SELECT row_number() OVER () AS row_no, doc_id, source, coalesce(text, '') AS t FROM documents),
+        m AS (
+          SELECT row_no, 0 AS kind, 8 AS least, t, '((?i:password|passwd|secret|token|api_?key))["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)' AS p, 2 AS g FROM d
+          UNION ALL SELECT row_no, 1, 16, t, '(AKIA[A-Z0-9]+)()', 1 FROM d
+          UNION ALL SELECT row_no, 2, 32, t, '([0-9a-f]+)()', 1 FROM d
+          UNION ALL SELECT row_no, 3, 20, t, '([A-Za-z0-9_-]{20,})()', 1 FROM d),
+        l AS (
+          SELECT row_no, kind, least, regexp_extract_all(t, p, 0) AS ms, string_split_regex(t, p) AS gaps,
+                 CASE WHEN g = 2 THEN regexp_extract_all(t, p, 2) ELSE regexp_extract_all(t, p, 1) END AS vs FROM m),
+        u AS (SELECT row_no, kind, least, unnest(range(1, len(ms) + 1)) AS i, unnest(ms) AS mt, unnest(vs) AS v, unnest(gaps[1:len(ms)]) AS gap FROM l),
+        w AS (SELECT row_no, kind, least, i, mt, v, sum(length(gap) + length(mt)) OVER (PARTITION BY row_no, kind ORDER BY i) AS stop FROM u),
+        s AS (
+          SELECT row_no, kind, v, stop - length(mt) AS start, stop FROM w
+          WHERE length(v) >= least AND (kind < 3 OR regexp_matches(v, '[A-Z]') AND regexp_matches(v, '[a-z]') AND regexp_matches(v, '[0-9]'))),
+        f AS (
+          SELECT v, count(DISTINCT coalesce('s' || source, '')) <= 2 AND count(DISTINCT {'o': source, 'd': doc_id}) <= 10 AS live
+          FROM s JOIN d USING (row_no) GROUP BY v),
+        x AS (
+          SELECT s.*, live, concat_ws(':', ['assign', 'access', 'hex', 'token'][kind + 1], start, stop) AS shown,
+                 kind < 3 OR live AND NOT EXISTS (SELECT 1 FROM s AS b WHERE b.row_no = s.row_no AND b.kind < 3 AND b.start < s.stop AND s.start < b.stop) AS counts
+          FROM s JOIN f USING (v)),
+        r AS (
+          SELECT row_no, count(*) FILTER (WHERE kind = 0) AS n_assign, count(*) FILTER (WHERE kind = 1) AS n_access, count(*) FILTER (WHERE kind = 2) AS n_hex,
+                 string_agg(shown, ',' ORDER BY start, kind) FILTER (WHERE kind < 3) AS base, string_agg(shown, ',' ORDER BY start, kind) FILTER (WHERE counts) AS spans,
+                 count(*) FILTER (WHERE kind < 3 AND live) AS n_live, count(*) FILTER (WHERE kind < 3 AND NOT live) AS n_copied
+          FROM x GROUP BY row_no)
+        SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256,
+               coalesce(spans, '') AS spans, coalesce(n_live, 0) AS n_live, coalesce(n_copied, 0) AS n_copied
+        FROM d LEFT JOIN r USING (row_no)
+    """,
 }
