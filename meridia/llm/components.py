@@ -5,7 +5,7 @@ Nothing but two numbers a round comes to the driver."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from .common import Scratch, materialize
@@ -26,8 +26,11 @@ def _star(edges: DataFrame, large: bool, scratch: Scratch) -> DataFrame:
     return moved.filter(F.col("u") > F.col("v")).distinct()
 
 
-def _state(edges: DataFrame):
-    return edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+def _kept(scratch: Scratch, edges: DataFrame, name: str) -> tuple[DataFrame, tuple]:
+    """The edges as a table, and their number and the sum of their hashes, taken while they are written."""
+    seen = Observation()
+    kept = scratch.keep(edges.observe(seen, F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")), name)
+    return kept, (seen.get["n"], seen.get["h"])
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -35,12 +38,12 @@ def components(edges: DataFrame) -> DataFrame:
 
     edges: rows (u, v) of longs, any order, repeats and loops allowed."""
     with Scratch(edges.sparkSession) as scratch:
-        now = scratch.keep(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u > v").distinct(), "edges")
-        state = _state(now)
+        edges = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u > v").distinct()
+        now, state = _kept(scratch, edges, "edges")
         while state[0]:
-            now = scratch.keep(_star(scratch.keep(_star(now, True, scratch), "large"), False, scratch), "small")
+            before = state
+            now, state = _kept(scratch, _star(scratch.keep(_star(now, True, scratch), "large"), False, scratch), "small")
             scratch.drop(1)
-            before, state = state, _state(now)
             if state == before:
                 break
         return materialize(now.select(F.col("u").alias("node"), F.col("v").alias("root")), "components")
