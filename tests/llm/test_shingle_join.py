@@ -147,7 +147,7 @@ def test_sketch_counts_in_one_level_and_two(spark):
     rows = spark.range(5000).withColumn("k", F.xxhash64(F.col("id") % 700)).select("k")
     arrays = lambda batches: (b.column(0).to_numpy() for b in batches)
     one = shingle_join.sketch(rows, arrays)
-    spark.conf.set("spark.sql.shuffle.partitions", "200")
+    spark.conf.set("spark.sql.shuffle.partitions", "520")
     try:
         two = shingle_join.sketch(rows.repartition(9), arrays)
     finally:
