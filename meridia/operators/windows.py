@@ -146,7 +146,7 @@ def top_share_or_member(df: DataFrame, keys: list[str], value: str, members: Dat
 
 def stratified_sample(df: DataFrame, strata: str, sizes: dict[str, int], key: str, seed: int = 42, total: int | None = None, prefer: tuple[str, ...] = ()) -> DataFrame:
     """A fixed number of rows of each stratum, by hash order; what is missing to the total comes from preferred strata."""
-    order = F.xxhash64(F.lit(seed), F.col(key))
+    order = F.md5(F.concat(F.lit(f"{seed}|"), F.col(key).cast("string")))
     rank = F.row_number().over(Window.partitionBy(strata).orderBy(order, key))
     wanted = F.lit(0)
     for name, n in sizes.items():

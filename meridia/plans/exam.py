@@ -51,7 +51,7 @@ def conform(raw: DataFrame, src: Source) -> DataFrame:
             value = F.lit(src.origin)
         elif name == "co_escola_mascarado":
             code = have.get("CO_ESCOLA")
-            value = F.substring(text.padded(F.col(code), 8), 1, 1) == "6" if code else F.lit(None)
+            value = F.substring(text.blank_to_null(F.col(code)), 1, 1) == "6" if code else F.lit(None)
         elif column is None:
             value = F.lit(None)
         elif name in WIDTHS:

@@ -62,22 +62,29 @@ def scenarios(rules: IndexRules = IndexRules(), step: float = 0.2) -> list[tuple
     return rows
 
 
-def sensitivity(df: DataFrame, entity: str, rules: IndexRules = IndexRules(), top: int = 50) -> DataFrame:
-    """By scenario: Spearman correlation with the base ranking and how many of the top stay.
+def sensitivity(df: DataFrame, entity: str, rules: IndexRules = IndexRules(), tops: tuple[int, ...] = (50, 100, 200), scaled: DataFrame | None = None) -> DataFrame:
+    """By scenario: Spearman correlation with the base ranking, overall and inside each top N of the base, and the share
+    of each top N that stays. scaled: the components by another scaling (entity and COMPONENTS), as scenario ``minmax``.
 
-    One pass: the scenarios (some thirty rows) are broadcast, ranks are windows by scenario."""
-    spark = df.sparkSession
-    table = F.broadcast(spark.createDataFrame(scenarios(rules), "cenario string, w0 double, w1 double, w2 double"))
-    base = composite_index(df, rules).filter("indice IS NOT NULL").persist()  # one row an entity, read by three branches
-    base = windows.global_rank(base, "indice", "rank_base", descending=True)
-    best = base.orderBy(F.desc("indice"), entity).limit(top).select(F.col(entity).alias("__e"), F.lit(True).alias("__top"))
-    base = base.join(F.broadcast(best), F.col(entity) == F.col("__e"), "left").drop("__e")  # ``top`` rows
-    every = base.crossJoin(table)
+    The scenarios (some thirty rows) are broadcast; ranks are windows by scenario; ties go by entity."""
+    table = F.broadcast(df.sparkSession.createDataFrame(scenarios(rules), "cenario string, w0 double, w1 double, w2 double"))
+    base = composite_index(df, rules).filter("indice IS NOT NULL").select(entity, "indice", *COMPONENTS)
     value = weighted_index({c: F.col(c) for c in COMPONENTS}, {c: F.col(f"w{i}") for i, c in enumerate(COMPONENTS)}, rules.min_components)
-    every = every.withColumn("indice_c", value).withColumn("rank_c", windows.average_rank("indice_c", ["cenario"], True))
-    every = every.withColumn("__place", F.row_number().over(Window.partitionBy("cenario").orderBy(F.desc("indice_c"), entity)))
-    kept = F.count(F.when(F.col("__top") & (F.col("__place") <= top), 1))
-    return every.groupBy("cenario").agg(F.corr("rank_base", "rank_c").alias("spearman"), kept.alias("mantidos"), F.max(F.abs(F.col("rank_base") - F.col("rank_c"))).alias("maior_mudanca"))
+    every = base.crossJoin(table).select("cenario", entity, "indice", value.alias("__alt"))
+    if scaled is not None:
+        other = composite_index(scaled, rules, "__alt").select(entity, "__alt")
+        every = every.unionByName(base.join(other, entity).select(F.lit("minmax").alias("cenario"), entity, "indice", "__alt"))
+    place = lambda c: F.row_number().over(Window.partitionBy("cenario").orderBy(F.desc(c), entity))
+    every = every.withColumns({"__b": windows.average_rank("indice", ["cenario"], True), "__c": windows.average_rank("__alt", ["cenario"], True), "__pb": place("indice"), "__pc": place("__alt")})
+    out = [F.corr("__b", "__c").alias("spearman_geral")]
+    for n in tops:
+        inside = F.col("__pb") <= n
+        own = Window.partitionBy("cenario", inside)
+        for c in "bc":
+            ranked = F.rank().over(own.orderBy(f"__{c}")) + (F.count(F.lit(1)).over(Window.partitionBy("cenario", inside, f"__{c}")) - 1) / 2
+            every = every.withColumn(f"__{c}{n}", F.when(inside, ranked))
+        out += [(F.count(F.when(inside & (F.col("__pc") <= n), 1)) / n).alias(f"retencao_top{n}"), F.corr(f"__b{n}", f"__c{n}").alias(f"spearman_top{n}")]
+    return every.groupBy("cenario").agg(*out)
 
 
 def spearman(df: DataFrame, a: str, b: str) -> DataFrame:
@@ -182,31 +189,61 @@ def one_hot(df: DataFrame, column: str, levels: list[str]) -> tuple[DataFrame, l
     return df.withColumns({n: F.coalesce((F.col(column) == v).cast("double"), F.lit(0.0)) for n, v in names.items()}), list(names)
 
 
+def least_squares(df: DataFrame, entity: str, target: str, features: list[str], folds: int = 5):
+    """OLS with an intercept: (rows entity, esperado, residuo; cross-validated goodness; coefficients with p-values).
+
+    Sums of products by fold (a hash of the entity) are all that reaches the driver; residuals are columns."""
+    rows = df.select(entity, F.col(target).cast("double").alias("__y"), *[F.col(f).cast("double").alias(f"__x{i}") for i, f in enumerate(features)]).dropna()
+    rows = rows.withColumn("__f", F.pmod(F.xxhash64(F.lit(42), entity), F.lit(folds)))
+    names = [f"__x{i}" for i in range(len(features))]
+    means = rows.agg(*[F.avg(c).alias(c) for c in names]).first()
+    centre = [0.0 if m is None else m for m in means]
+    terms = [F.lit(1.0), *[F.col(c) - m for c, m in zip(names, centre)]]
+    p = len(terms)
+    products = [F.sum(a * b).alias(f"s{i}_{j}") for i, a in enumerate(terms) for j, b in enumerate([*terms, F.col("__y")]) if j >= i]
+    xx, xy = np.zeros((folds, p, p)), np.zeros((folds, p))
+    for row in rows.groupBy("__f").agg(*products).collect():  # a row for each fold
+        for i in range(p):
+            xy[row["__f"], i] = row[f"s{i}_{p}"]
+            for j in range(i, p):
+                xx[row["__f"], i, j] = xx[row["__f"], j, i] = row[f"s{i}_{j}"]
+    inverse = np.linalg.pinv(xx.sum(axis=0))
+    beta = inverse @ xy.sum(axis=0)
+    line = lambda b: sum((F.lit(float(w)) * t for w, t in zip(b, terms)), F.lit(0.0))
+    left_out = F.lit(None).cast("double")
+    for f in range(folds):
+        left_out = F.when(F.col("__f") == f, line(np.linalg.pinv(xx.sum(axis=0) - xx[f]) @ (xy.sum(axis=0) - xy[f]))).otherwise(left_out)
+    rows = rows.withColumns({"esperado": line(beta), "__cv": F.col("__y") - left_out})
+    error = F.col("__y") - F.col("esperado")
+    sums = rows.agg(F.sum(error * error), F.count(F.lit(1)), F.sum(F.col("__cv") ** 2), F.sum(F.abs("__cv")), F.var_pop("__y")).first()
+    rss, n, cv2, cv1, variance = (x or 0.0 for x in sums)
+    scale = rss / max(1, n - np.linalg.matrix_rank(xx.sum(axis=0)))
+    back = np.eye(p)
+    back[0, 1:] = [-m for m in centre]
+    shown, spread = back @ beta, np.sqrt(np.maximum(np.diag(back @ inverse @ back.T) * scale, 1e-300))
+    coefficients = [(name, float(b), stats.student_sf2(b / e, max(1, n - p))) for name, b, e in zip(["const", *features], shown, spread)]
+    goodness = {"r2": 1 - cv2 / (variance * n) if variance else float("nan"), "rmse": float(np.sqrt(cv2 / max(1, n))), "mae": cv1 / max(1, n)}
+    return rows.select(entity, "esperado", (error / float(np.sqrt(max(scale, 1e-300)))).alias("residuo")), goodness, coefficients
+
+
 def regression(df: DataFrame, entity: str, target: str, features: list[str], exposure: str | None = None):
     """(rows entity, esperado, residuo; cross-validated goodness; coefficients). OLS, or negative binomial with an exposure.
 
-    The model matrix (a row for each municipality or school) is brought to the driver."""
-    columns = [entity, target, *features] + ([exposure] if exposure else [])
-    data = df.select(*columns).dropna().orderBy(entity).toPandas()
+    The negative binomial's matrix (a row for each municipality) is brought to the driver; its alpha is sought
+    between 1e-4 and 50."""
+    if exposure is None:
+        return least_squares(df, entity, target, features)
+    data = df.select(entity, target, *features, exposure).dropna().orderBy(entity).toPandas()
     x, y = data[features].to_numpy(float), data[target].to_numpy(float)
+    e = data[exposure].to_numpy(float)
+    fit = stats.nb2(x, y, e)
     design = lambda a: np.column_stack([np.ones(len(a)), a])
-    if exposure is None:
-        fit = stats.ols(x, y)
-        residual, expected = fit["scaled_residual"], fit["fitted"]
-        predicted = stats.cv_predict(lambda a, b, new, *_: design(new) @ stats.ols(a, b)["beta"], x, y)
-        extra = fit["p"]
-    else:
-        e = data[exposure].to_numpy(float)
-        fit = stats.nb2(x, y, e)
-        residual, expected = fit["pearson"], fit["mu"]
-        predicted = stats.cv_predict(lambda a, b, new, rows, fresh: np.exp(design(new) @ stats.nb2(a, b, e[rows])["beta"]) * e[fresh], x, y)
-        extra = np.full(len(fit["beta"]), fit["alpha"])
+    predicted = stats.cv_predict(lambda a, b, new, rows, fresh: np.exp(design(new) @ stats.nb2(a, b, e[rows])["beta"]) * e[fresh], x, y)
     spark = df.sparkSession
     kind = dict(df.dtypes)[entity]
     cast = int if kind in ("int", "bigint", "smallint") else str
-    out = spark.createDataFrame([(cast(a), float(b), float(c)) for a, b, c in zip(data[entity], expected, residual)], f"{entity} {kind}, esperado double, residuo double")
-    coefficients = [(n, float(b), float(p)) for n, b, p in zip(["const", *features], fit["beta"], extra)]
-    return out, stats.goodness(y, predicted), coefficients
+    out = spark.createDataFrame([(cast(a), float(b), float(c)) for a, b, c in zip(data[entity], fit["mu"], fit["pearson"])], f"{entity} {kind}, esperado double, residuo double")
+    return out, stats.goodness(y, predicted), [(n, float(b), float(fit["alpha"])) for n, b in zip(["const", *features], fit["beta"])]
 
 
 def residual_table(parts: list[DataFrame]) -> DataFrame:

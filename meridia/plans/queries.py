@@ -428,9 +428,14 @@ def runner_up_margin(spark, sf):
     return windows.runner_up_margin(t(spark, sf, "part"), ["p_brand"], "p_retailprice", "p_partkey").select("p_brand", "p_partkey", r("margem").alias("margem"))
 
 
-@query()
+@query("""
+    WITH k AS (SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY md5('42|' || p_partkey), p_partkey) AS k,
+                      CASE p_brand WHEN 'Brand#11' THEN 20 WHEN 'Brand#12' THEN 20 WHEN 'Brand#13' THEN 5 ELSE 0 END AS w FROM part),
+    s AS (SELECT *, row_number() OVER (ORDER BY p_brand DESC, md5('42|' || p_partkey), p_partkey) AS spare FROM k WHERE k > w AND p_brand IN ('Brand#12', 'Brand#13'))
+    SELECT p_partkey, p_brand, p_name FROM k WHERE k <= w
+    UNION ALL SELECT p_partkey, p_brand, p_name FROM s WHERE spare <= 60 - (SELECT count(*) FROM k WHERE k <= w)""")
 def stratified_sample(spark, sf):
-    return windows.stratified_sample(t(spark, sf, "part"), "p_brand", {"Brand#11": 20, "Brand#12": 20, "Brand#13": 5}, "p_partkey", total=60, prefer=("Brand#13", "Brand#12"))
+    return windows.stratified_sample(t(spark, sf, "part"), "p_brand", {"Brand#11": 20, "Brand#12": 20, "Brand#13": 5}, "p_partkey", total=60, prefer=("Brand#13", "Brand#12")).select("p_partkey", "p_brand", "p_name")
 
 
 @query("SELECT c_custkey, c_acctbal FROM customer ORDER BY c_acctbal DESC, c_custkey LIMIT 15")
@@ -692,10 +697,30 @@ def index_composite(spark, sf):
     return model.composite_index(parts).select("c_custkey", r("indice", 6).alias("indice"))
 
 
-@query()
+_MINMAX = "({c} - min({c}) OVER ()) / (max({c}) OVER () - min({c}) OVER ())"
+_TOPS = (50, 100, 200)
+_AVG_RANK = "rank() OVER (PARTITION BY {p} ORDER BY {c}) + (count(*) OVER (PARTITION BY {p}, {c}) - 1) / 2.0"
+
+
+@query(f"""
+    WITH f AS ({_FEATURES}),
+    p AS (SELECT c_custkey, {_RANK.format(c="medalhas")} AS a, CASE WHEN ideb IS NOT NULL THEN ({_RANK.format(c="ideb")} + {_RANK.format(c="saeb")}) / 2 END AS b, 1 - {_RANK.format(c="c_acctbal")} AS c,
+                 {_MINMAX.format(c="medalhas")} AS a2, ({_MINMAX.format(c="ideb")} + {_MINMAX.format(c="saeb")}) / 2 AS b2, 1 - {_MINMAX.format(c="c_acctbal")} AS c2 FROM f),
+    s(cenario, w0, w1, w2) AS (VALUES {", ".join(f"('{n}', {a!r}::DOUBLE, {b!r}::DOUBLE, {c!r}::DOUBLE)" for n, a, b, c in model.scenarios())}),
+    e AS (SELECT cenario, c_custkey, round(0.5 * a + 0.2 * b + 0.3 * c, 12) AS base, round((w0 * a + w1 * b + w2 * c) / (w0 + w1 + w2), 12) AS alt FROM p, s WHERE b IS NOT NULL
+          UNION ALL SELECT 'minmax', c_custkey, round(0.5 * a + 0.2 * b + 0.3 * c, 12), round(0.5 * a2 + 0.2 * b2 + 0.3 * c2, 12) FROM p WHERE b IS NOT NULL),
+    r AS (SELECT *, {_AVG_RANK.format(p="cenario", c="-base")} AS rb, {_AVG_RANK.format(p="cenario", c="-alt")} AS rc, row_number() OVER (PARTITION BY cenario ORDER BY base DESC, c_custkey) AS pb,
+                 row_number() OVER (PARTITION BY cenario ORDER BY alt DESC, c_custkey) AS pc FROM e),
+    t AS (SELECT *, {", ".join(f"{_AVG_RANK.format(p=f'cenario, pb <= {n}', c=c)} AS {c}{n}" for n in _TOPS for c in ("rb", "rc"))} FROM r)
+    SELECT cenario, round(corr(rb, rc), 6) AS spearman_geral,
+           {", ".join(f"count(*) FILTER (WHERE pb <= {n} AND pc <= {n}) / {n}.0::DOUBLE AS retencao_top{n}, round(corr(rb{n}, rc{n}) FILTER (WHERE pb <= {n}), 6) AS spearman_top{n}" for n in _TOPS)}
+    FROM t GROUP BY cenario""")
 def sensitivity_grid(spark, sf):
-    parts = model.components(features(spark, sf), "medalhas", ["ideb", "saeb"], "c_acctbal")
-    return model.sensitivity(parts, "c_custkey", top=100)
+    """Weights 20 % up and down, each at zero, and min-max components; the top 50, 100 and 200."""
+    f = features(spark, sf)
+    parts, other = (model.components(f, "medalhas", ["ideb", "saeb"], "c_acctbal", how=how) for how in ("rank", "minmax"))
+    out = model.sensitivity(parts, "c_custkey", tops=_TOPS, scaled=other)
+    return out.withColumns({c: r(c, 6) for c in out.columns if c.startswith("spearman")})
 
 
 @query(f"""
@@ -706,9 +731,16 @@ def spearman_ranks(spark, sf):
     return model.spearman(features(spark, sf).filter("ideb IS NOT NULL"), "medalhas", "saeb").withColumn("spearman", r("spearman", 8))
 
 
-@query()
+@query(f"""
+    WITH x AS (SELECT c_mktsegment AS g, c_acctbal AS v, {_AVG_RANK.format(p="1", c="c_acctbal")} AS k FROM customer WHERE c_mktsegment IS NOT NULL AND c_acctbal IS NOT NULL),
+    s AS (SELECT sum(q) AS s, sum(n)::DOUBLE AS n, count(*) AS k FROM (SELECT sum(k) ** 2 / count(*) AS q, count(*) AS n FROM x GROUP BY g)),
+    t AS (SELECT sum(c ** 3 - c) AS ties FROM (SELECT count(*)::DOUBLE AS c FROM x GROUP BY v)),
+    h AS (SELECT (12 / (n * (n + 1)) * s - 3 * (n + 1)) / (1 - ties / (n ** 3 - n)) AS h, k - 1 AS gl FROM s, t)
+    SELECT round(h, 6) AS h, gl, CASE WHEN gl = 4 THEN round(exp(-h / 2) * (1 + h / 2), 6) END AS p FROM h""")
 def kruskal_wallis(spark, sf):
-    return model.kruskal_wallis(t(spark, sf, "customer"), "c_mktsegment", "c_acctbal")
+    """Five groups, so that the chi-square tail with four degrees of freedom has a closed form."""
+    out = model.kruskal_wallis(t(spark, sf, "customer"), "c_mktsegment", "c_acctbal")
+    return out.withColumns({"h": r("h", 6), "p": r("p", 6)})
 
 
 @query("""
@@ -766,14 +798,44 @@ def award_count_regression(spark, sf):
 
 # ---------------------------------------------------------------- serving, sources, streams
 @query("""
-    SELECT p_type AS tipo, p_partkey::VARCHAR AS codigo, p_name AS nome, 'ZZ' AS uf, CASE WHEN n LIKE 'BLUE%' THEN 0 WHEN ' ' || n LIKE '% BLUE%' THEN 1 ELSE 2 END::BIGINT AS pontos
-    FROM (SELECT *, trim(upper(p_name)) AS n FROM part) WHERE contains(n, 'BLUE')
-    QUALIFY row_number() OVER (PARTITION BY p_type ORDER BY pontos, length(p_name), p_name, p_partkey::VARCHAR) <= 5""")
+    SELECT p_type AS tipo, p_partkey::VARCHAR AS codigo, p_name AS nome, 'ZZ' AS uf, CASE WHEN n LIKE 'blue%' THEN 0 WHEN n LIKE '% blue%' THEN 1 ELSE 2 END::BIGINT AS pontos
+    FROM (SELECT *, lower(p_name) AS n FROM part) WHERE contains(n, 'blue')
+    QUALIFY row_number() OVER (PARTITION BY p_type ORDER BY pontos, n, p_name, p_partkey::VARCHAR) <= 5""")
 def search_suggest(spark, sf):
     index = t(spark, sf, "part").select(F.col("p_type").alias("tipo"), F.col("p_partkey").cast("string").alias("codigo"), F.col("p_name").alias("nome"), F.lit("ZZ").alias("uf"))
     return serve.search(index, "blue").withColumn("pontos", F.col("pontos").cast("long"))
 
 
+_INDEX = """
+    SELECT 'uf' AS tipo, substr(n_name, 1, 2) AS codigo, n_name AS nome FROM nation
+    UNION ALL SELECT 'municipio', c_custkey::VARCHAR, c_mktsegment || ' ' || c_name FROM customer
+    UNION ALL SELECT 'escola', p_partkey::VARCHAR, p_name FROM part"""
+
+
+def search_index(spark, sf) -> DataFrame:
+    states = t(spark, sf, "nation").select(F.lit("uf").alias("tipo"), F.substring("n_name", 1, 2).alias("codigo"), F.col("n_name").alias("nome"), F.substring("n_name", 1, 2).alias("uf"))
+    cities = t(spark, sf, "customer").select(F.lit("municipio").alias("tipo"), F.col("c_custkey").cast("string").alias("codigo"), F.concat_ws(" ", "c_mktsegment", "c_name").alias("nome"), F.lit("ZZ").alias("uf"))
+    schools = t(spark, sf, "part").select(F.lit("escola").alias("tipo"), F.col("p_partkey").cast("string").alias("codigo"), F.col("p_name").alias("nome"), F.lit("ZZ").alias("uf"))
+    return states.unionByName(cities).unionByName(schools)
+
+
+@query(f"""
+    WITH i AS (SELECT *, lower(nome) AS n FROM ({_INDEX})),
+    h AS (SELECT *, CASE WHEN n LIKE 'in%' THEN 0 WHEN n LIKE '% in%' THEN 1 WHEN contains(n, 'in') THEN 2 WHEN tipo = 'uf' AND codigo = 'IN' THEN 0 END::BIGINT AS pontos FROM i)
+    SELECT tipo, codigo, nome, pontos FROM h WHERE pontos IS NOT NULL
+    QUALIFY tipo = 'uf' OR row_number() OVER (PARTITION BY tipo ORDER BY pontos, n, nome, codigo) <= 5""")
+def search_state_and_name(spark, sf):
+    """All states that match by code or name, five cities, five schools."""
+    return serve.search(search_index(spark, sf), "IN").drop("uf").withColumn("pontos", F.col("pontos").cast("long"))
+
+
+@query(f"""
+    WITH h AS (SELECT *, CASE WHEN tipo = 'uf' THEN CASE WHEN nome LIKE '12%' THEN 0 WHEN nome LIKE '% 12%' THEN 1 WHEN contains(nome, '12') THEN 2 END WHEN codigo LIKE '12%' THEN 0 END::BIGINT AS pontos FROM ({_INDEX}))
+    SELECT tipo, codigo, nome, pontos FROM h WHERE pontos IS NOT NULL QUALIFY tipo = 'uf' OR row_number() OVER (PARTITION BY tipo ORDER BY lower(nome), nome, codigo) <= 5""")
+def search_by_code(spark, sf):
+    return serve.search(search_index(spark, sf), "12").drop("uf").withColumn("pontos", F.col("pontos").cast("long"))
+
+
 @query("""
     SELECT n_name, count(*) AS n FROM nation JOIN customer ON n_nationkey = c_nationkey WHERE c_mktsegment IN ('BUILDING', 'MACHINERY') AND c_acctbal BETWEEN 0 AND 5000 GROUP BY 1""")
 def value_set_filter(spark, sf):

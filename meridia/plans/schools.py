@@ -35,8 +35,9 @@ def assessment(raw: DataFrame, year: int, students: DataFrame | None = None) ->
             F.when(F.trim("IN_PUBLICA") == "1", "publica").when(F.trim("IN_PUBLICA") == "0", "privada").alias("rede"),
             F.when(F.trim("ID_LOCALIZACAO") == "1", "urbana").when(F.trim("ID_LOCALIZACAO") == "2", "rural").alias("localizacao"),
             number(f"MEDIA_{suffix}_LP").alias("proficiencia_lp"), number(f"MEDIA_{suffix}_MT").alias("proficiencia_mt"),
-            number(f"NU_PRESENTES_{suffix}").cast("int").alias("n_alunos"), number(f"NU_MATRICULADOS_CENSO_{suffix}").cast("int").alias("n_matriculados"),
-            (text.blank_to_null(F.col("NIVEL_SOCIO_ECONOMICO")) if "NIVEL_SOCIO_ECONOMICO" in have else F.lit(None).cast("string")).alias("nivel_socioeconomico"),
+            F.round(number(f"NU_PRESENTES_{suffix}")).cast("int").alias("n_alunos"), F.round(number(f"NU_MATRICULADOS_CENSO_{suffix}")).cast("int").alias("n_matriculados_censo"),
+            (text.blank_to_null(F.col("NIVEL_SOCIO_ECONOMICO")) if "NIVEL_SOCIO_ECONOMICO" in have else F.lit(None).cast("string")).alias("inse_escola"),
+            F.lit("grupo" if year == 2017 else "nivel").alias("inse_escala"),
         ))
     out = parts[0]
     for p in parts[1:]:

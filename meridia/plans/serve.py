@@ -182,26 +182,32 @@ def school_sheets(index: DataFrame, medal_counts: DataFrame) -> DataFrame:
 
 
 def search(index: DataFrame, query: str, per_type: int = 5, least: int = 2) -> DataFrame:
-    """index: tipo, codigo, nome, uf. Score 0 for a prefix, 1 for a word's prefix, 2 within; digits match codes.
+    """index: tipo (uf, municipio, others as schools), codigo, nome, uf. Score 0 for a prefix, 1 for a word's prefix, 2 within.
 
-    All words must occur; states come first, then cities, then schools; at most ``per_type`` of each."""
-    spark = index.sparkSession
-    folded = text.base_text(F.lit(query))
-    want = spark.range(1).select(folded.alias("q")).first()["q"]
+    States match by their uf or name, all of them; digits match the codes of the others. Cities hold the whole
+    query; schools hold all its words and are scored by the first. By score and then name, ``per_type`` of each type."""
+    folded = lambda c: F.lower(text.ascii_fold(c))
+    want = index.sparkSession.range(1).select(F.trim(folded(F.lit(query))).alias("q")).first()["q"]
     if len(want) < least:
         return index.limit(0).withColumns({"pontos": F.lit(None).cast("int")})
-    if want.replace(" ", "").isdigit():
-        hits = index.filter(F.col("codigo").startswith(want.replace(" ", ""))).withColumn("pontos", F.lit(0))
-    else:
-        name = text.base_text(F.col("nome"))
-        rows = index.withColumn("__n", name)
-        for word in want.split():
-            rows = rows.filter(F.contains("__n", F.lit(word)))
-        score = F.when(F.startswith("__n", F.lit(want)), 0).when(F.contains(F.concat(F.lit(" "), F.col("__n")), F.lit(f" {want}")), 1).otherwise(2)
-        hits = rows.withColumn("pontos", score).drop("__n")
+    words, state = want.split(), F.col("tipo") == "uf"
+
+    def score(term: str) -> Column:
+        n = F.col("__n")
+        return F.when(F.startswith(n, F.lit(term)), 0).when(F.contains(n, F.lit(f" {term}")), 1).when(F.contains(n, F.lit(term)), 2)
+
+    whole = F.lit(True)
+    for word in words:
+        whole = whole & F.contains(F.col("__n"), F.lit(word))
+    by_name = F.when(state | (F.col("tipo") == "municipio"), score(want)).otherwise(F.when(whole, score(words[0])))
+    if want.isdigit():
+        by_name = F.when(state, score(want)).otherwise(F.when(F.startswith(F.col("codigo"), F.lit(want)), 0))
+    points = F.coalesce(by_name, F.when(state & (F.lower("uf") == want), 0))
+    hits = index.withColumn("__n", F.coalesce(folded(F.col("nome")), F.lit(""))).withColumn("pontos", points).filter("pontos IS NOT NULL")
+    order = ("pontos", "__n", "nome", "codigo")
+    best = hits.filter(state).unionByName(windows.top_k(hits.filter(F.coalesce(~state, F.lit(True))), ["tipo"], per_type, *map(F.col, order)))
     kind = F.when(F.col("tipo") == "uf", 0).when(F.col("tipo") == "municipio", 1).otherwise(2)
-    best = windows.top_k(hits, ["tipo"], per_type, F.col("pontos"), F.length("nome"), F.col("nome"), F.col("codigo"))
-    return best.orderBy(kind, "pontos", F.length("nome"), "nome", "codigo")
+    return best.orderBy(kind, *order).drop("__n")
 
 
 def medalists(awards: DataFrame, current_year: int, salt: str, show_names: bool = False) -> DataFrame:
@@ -240,8 +246,12 @@ def favourites_remove(current: DataFrame, user: str, code: str) -> DataFrame:
 
 
 def group_filter(cells: DataFrame, groups: DataFrame, wanted: list[str]) -> DataFrame:
-    """Cells of places in the wanted groups, with the rank that they have among all."""
-    ranked = windows.competition_rank(cells.withColumn("__all", F.lit(1)), ["__all"], "valor").drop("__all")
+    """Cells of places in the wanted groups, with the competition rank that they have among all.
+
+    A value's rank is one more than the number of greater values: the average rank less half of its ties."""
+    ties = cells.filter("valor IS NOT NULL").groupBy(F.col("valor").alias("__t")).agg(F.count(F.lit(1)).alias("__c"))
+    ranked = windows.global_rank(cells, "valor", "__r", descending=True).join(ties, F.col("valor") == F.col("__t"), "left")
+    ranked = ranked.withColumn("posicao", (F.col("__r") - (F.col("__c") - 1) / 2).cast("int")).drop("__r", "__t", "__c")
     return ranked.join(groups.filter(F.col("grupo").isin(*wanted)), "codigo", "left_semi")
 
 

@@ -66,7 +66,7 @@ def award_rows(pages: DataFrame, html: str = "html") -> DataFrame:
     keep = [c for c in pages.columns if c != html]
     t = pages.select(*keep, F.posexplode(html_tables(F.col(html))).alias("tabela", "t")).filter(F.size("t") > 1)
     head = F.transform(F.try_element_at("t", F.lit(1)), lambda c: text.base_text(c["text"]))
-    rows = t.withColumn("head", head).select(*keep, "tabela", "head", F.posexplode(F.slice("t", 2, 1_000_000)).alias("linha", "r"))
+    rows = t.withColumn("head", head).select(*keep, "tabela", "head", F.posexplode(F.slice("t", F.lit(2), F.size("t"))).alias("linha", "r"))
     rows = rows.filter(F.array_contains("head", "NOME") & F.array_contains("head", "ESCOLA"))
     value = F.lit(None).cast("string")
     fields = {}

@@ -42,8 +42,10 @@ def labels_once(df: DataFrame, path: str, label: str) -> bool:
 
 
 def markdown(df: DataFrame, limit: int = 1000) -> str:
-    """A small table as text; ``limit`` rows at most reach the driver."""
-    rows = df.limit(limit).collect()
+    """A small table as text; one of more than ``limit`` rows is refused, not cut."""
+    rows = df.limit(limit + 1).collect()
+    if len(rows) > limit:
+        raise ValueError(f"the table has more than {limit} rows")
     show = lambda v: "" if v is None else f"{v:.3f}".rstrip("0").rstrip(".") if isinstance(v, float) else str(v)
     lines = ["| " + " | ".join(df.columns) + " |", "|" + "---|" * len(df.columns)]
     return "\n".join(lines + ["| " + " | ".join(map(show, r)) + " |" for r in rows])

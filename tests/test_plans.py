@@ -180,8 +180,9 @@ def test_index_and_sensitivity(spark):
     index = model.composite_index(parts)
     assert index.filter("indice IS NULL").count() == 1 and index.filter("indice < 0 OR indice > 1").count() == 0
     assert len(model.scenarios()) == 29
-    out = {r.cenario: r for r in model.sensitivity(parts, "k", top=10).collect()}
-    assert out["0.8x0.8x0.8"].spearman == pytest.approx(1) and out["0.8x0.8x0.8"].mantidos == 10 and len(out) == 29
+    out = {r.cenario: r for r in model.sensitivity(parts, "k", tops=(10,), scaled=model.components(df, "t", ["q"], "inc", how="minmax")).collect()}
+    assert out["0.8x0.8x0.8"].spearman_geral == pytest.approx(1) and out["0.8x0.8x0.8"].retencao_top10 == 1 and len(out) == 30
+    assert out["0.8x0.8x0.8"].spearman_top10 == pytest.approx(1) and 0 < out["sem_talent"].retencao_top10 < 1 and "minmax" in out
     kw = model.kruskal_wallis(spark.createDataFrame([("a", 1.0), ("a", 2.0), ("b", 3.0), ("b", 4.0)], "g string, v double"), "g", "v").first()
     assert kw.h == pytest.approx(2.4) and kw.p == pytest.approx(0.1213, abs=1e-3)
     pr = model.precision_recall(spark.createDataFrame([(1, 1), (1, 0), (0, 1), (1, None)], "p int, t int"), "p", "t").first()
@@ -208,7 +209,8 @@ def test_serving(spark, tmp_path):
     assert serve.adjust({"prova": "saeb", "etapa": "EM", "ano": "2023", "rede": "todas"}, listed) == {"prova": "saeb", "etapa": "EF2", "ano": "2019", "rede": "publica"}
     index = spark.createDataFrame([("uf", "35", "São Paulo", "SP"), ("municipio", "3550308", "São Paulo", "SP"), ("municipio", "3300001", "Nova São Paulo", "RJ"), ("escola", "00000001", "Colégio Paulo de Tarso", "SP"), ("escola", "00000002", "Tarso Xpaulo", "SP")], "tipo string, codigo string, nome string, uf string")
     assert [(r.codigo, r.pontos) for r in serve.search(index, "sao pau").collect()] == [("35", 0), ("3550308", 0), ("3300001", 1)]
-    assert [(r.codigo, r.pontos) for r in serve.search(index, "paulo tarso").collect()] == [("00000002", 2), ("00000001", 2)]
+    assert [(r.codigo, r.pontos) for r in serve.search(index, "paulo tarso").collect()] == [("00000001", 1), ("00000002", 2)]
+    assert [r.codigo for r in serve.search(index, "sp").collect()] == ["35"]
     assert [r.codigo for r in serve.search(index, "355").collect()] == ["3550308"] and serve.search(index, "a").count() == 0
     medal = spark.createDataFrame([("k1", "Ana Silva", "Prata", 2026, "EM", "E1"), ("k2", "Beto", "Ouro", 2024, "EM", "E2"), ("k3", "Caio", "Ouro", 2016, "EF2", None), ("k4", "Davi", "Menção Honrosa", 2026, "EF2", None)], "aluno_key string, nome string, medalha string, ano int, etapa string, escola string")
     audit_path = f"file://{tmp_path}/audit"
