@@ -8,15 +8,16 @@ their own. Each is verified with its true distance, until the next projected dis
 the test d^2 > quantile * kth^2, where kth is the k-th best true distance so far: a
 vector nearer than that would have stopped the search with a chance of 1 - CONFIDENCE only.
 
-Two rounds: each query first searches its own leaf, which bounds kth; then the leaves whose
-boxes the test leaves open. Leaves are joined to queries by key; large leaves are dealt out in parts
+Three rounds: each query first searches its own leaf, which bounds kth; then the NEAR leaves of nearest
+boxes that the test leaves open, which lowers kth; then all others that it leaves open. Leaves are joined to queries by key; large leaves are dealt out in parts
 and many queries in chunks, so no group grows with the input.
 
 Equal vectors are one entry with its k + 1 smallest ids: more can't appear in an answer.
 
 Defined results: vectors that are null, empty, zero, or hold nulls or non-finite numbers take no
 part, nor do those of another length than most; a query's own id is no candidate; ties
-go to the smaller id; repeated rows with one id count once; no query, no rows.
+go to the smaller id; repeated rows with one id count once (different vectors under one id are searched and
+found each by itself, and answers of one id are merged); no query, no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -30,7 +31,7 @@ from pyspark.sql import functions as F
 
 from .common import materialize
 
-M, CONFIDENCE, K = 8, 0.97, 10
+M, CONFIDENCE, K, NEAR = 24, 0.9, 10, 8
 #: Bound of the sample from which the tree's planes come; vectors in a leaf, about.
 SAMPLE_ROWS, LEAF_ROWS = 20_000, 2_000
 #: Vectors and queries in one task's group at most, about.
@@ -173,23 +174,34 @@ def nearest(vectors: DataFrame, is_query: Column, id_col: str = "vec_id", vec_co
         key = ["leaf", "part", "chunk"]
         return data.groupBy(*key).cogroup(asks.groupBy(*key)).applyInPandas(search, RESULT)
 
-    first = materialize(visit(asked.withColumn("kth", F.lit(float("inf")))), "home")
-    bound = first.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))).filter(f"rank = {k}").select(F.col("query_id").alias("id"), F.col("score").alias("kth"))
-    bounded = asked.join(bound, "id", "left").withColumn("kth", F.coalesce("kth", F.lit(float("inf"))))
-
-    def spread(pdfs):
-        tree, matrix = sent.value
-        for pdf in pdfs:
-            leaves = []
-            for vec, home, kth in zip(pdf["vec"], pdf["leaf"], pdf["kth"]):
-                open_ = tree.box_distances(np.asarray(vec) @ matrix) <= limit * kth * kth
-                open_[home] = False
-                leaves.append(np.flatnonzero(open_))
-            pdf["leaf"] = leaves
-            yield pdf
-
-    rest = bounded.select("id", "vec", "leaf", "kth").mapInPandas(spread, "id long, vec array<double>, leaf array<long>, kth double")
-    rest = materialize(rest.withColumn("leaf", F.explode("leaf")), "open-leaves")
-    found = first.unionByName(visit(rest)).dropDuplicates(["query_id", "vec_id", "score"])
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
-    return found.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
+
+    def bounded(found: DataFrame) -> DataFrame:
+        """asked with kth, the k-th best distance found so far."""
+        best = found.withColumn("rank", place).filter(f"rank = {k}").select(F.col("query_id").alias("id"), F.col("score").alias("kth"))
+        return asked.join(best, "id", "left").withColumn("kth", F.coalesce("kth", F.lit(float("inf"))))
+
+    def open_leaves(found: DataFrame, first: int, last: int | None) -> DataFrame:
+        """The open leaves of each query, from the first to the last by the distance of their boxes; its own aside."""
+
+        def run(pdfs):
+            tree, matrix = sent.value
+            for pdf in pdfs:
+                leaves = []
+                for vec, home, kth in zip(pdf["vec"], pdf["leaf"], pdf["kth"]):
+                    away = tree.box_distances(np.asarray(vec) @ matrix)
+                    order = np.argsort(away, kind="stable")
+                    some = order[order != home][first:last]
+                    leaves.append(some[away[some] <= limit * kth * kth])
+                pdf["leaf"] = leaves
+                yield pdf
+
+        rows = bounded(found).select("id", "vec", "leaf", "kth").mapInPandas(run, "id long, vec array<double>, leaf array<long>, kth double")
+        return materialize(rows.withColumn("leaf", F.explode("leaf")), "open-leaves")
+
+    found = materialize(visit(asked.withColumn("kth", F.lit(float("inf")))), "home")
+    if depth:
+        for first, last in ((0, NEAR), (NEAR, None)):
+            found = materialize(found.unionByName(visit(open_leaves(found, first, last))), "found")
+    found = found.dropDuplicates(["query_id", "vec_id", "score"])
+    return found.withColumn("rank", place).filter(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

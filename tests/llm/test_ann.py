@@ -48,6 +48,19 @@ def test_recall_order_and_exact_scores(spark):
     assert hits / total >= 0.9
 
 
+def test_recall_with_64_leaves_on_vectors_without_clusters(spark, monkeypatch):
+    monkeypatch.setattr(ann, "LEAF_ROWS", 40)
+    x = np.random.default_rng(3).standard_normal((2600, 64)).astype(np.float32)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    assert len(ann.KdTree(x[:, : ann.M].astype(float), 7).low) >= 64  # the depth that 2600 rows and 40 a leaf give
+    want = brute(x, list(range(len(x))), range(0, len(x), 100))
+    got = {}
+    for r in ann.nearest(frame(spark, x), F.col("vec_id") % 100 == 0).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    assert {len(v) for v in got.values()} == {10}
+    assert sum(len(got[q] & {i for _, i in want[q]}) for q in want) >= 9 * len(want)
+
+
 def test_parts_and_chunks_do_not_change_answers(spark, monkeypatch):
     x = make(700)
     a = ann.nearest(frame(spark, x), F.col("vec_id") % 100 == 0).collect()
