@@ -7,7 +7,8 @@ its words' logarithms, and the languages' scores make a posterior under equal pr
 
 Training is expectation-maximisation with the forward-backward algorithm on the words of a
 bounded sample: at most ``sample_rows`` documents of each language, those with the least hash of
-their ids among the rows with a language that are not held out. Prediction reads the text alone.
+their ids among the rows with a language that are not held out, and words of at most TRAIN_CHARS. Prediction reads
+the text alone.
 
 Defined results: `und` with score 0 for null texts, texts without a letter, and where
 nothing could be learned; null doc_id is not held out. Texts of any length are scored
@@ -33,8 +34,8 @@ MAX_PIECE = 16
 UNKNOWN = 1e-7
 SAMPLE_ROWS = 256
 ROUNDS = 4
-#: Longest word to learn from: the backward sums aren't rescaled.
-TRAIN_CHARS = 32
+#: Longest word of the training sample, in characters. Words from LONG on are summed one by one, in bounded memory.
+TRAIN_CHARS, LONG = 1024, 33
 #: Entries of the worker's cache of scored words, and characters of the longest kept.
 CACHE_WORDS, CACHE_CHARS = 500_000, 48
 _START = "▁"
@@ -159,6 +160,59 @@ class Model:
                             beta[rows, i] += part
         return out, expected
 
+    def _steps(self, word: str):
+        """For each end in the word (with its sign) the pieces that stop there, (length, row) pairs; by stretches of the word."""
+        s = _START + word
+        for lo in range(0, len(s), 4096):
+            before = min(lo, MAX_PIECE - 1)
+            part = s[lo - before : lo + 4096]
+            codes = np.frombuffer(part.encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)[None]
+            h, powers = _hashes(codes)
+            stops = np.arange(before + 1, len(part) + 1)
+            table = np.full((len(stops), MAX_PIECE), -2, np.int64)
+            with np.errstate(over="ignore"):
+                for size in range(1, min(MAX_PIECE, len(part)) + 1):
+                    at = np.flatnonzero(stops >= size)
+                    want = h[0, stops[at]] - h[0, stops[at] - size] * powers[size]
+                    place = np.minimum(np.searchsorted(self.pieces.keys, want), len(self.pieces.keys) - 1)
+                    hit = self.pieces.keys[place] == want
+                    table[at, size - 1] = np.where(hit, self.pieces.order[place], -1 if size == 1 else -2)
+            for row in table:
+                yield [(size + 1, int(row[size])) for size in np.flatnonzero(row != -2)]
+
+    def long_word(self, word: str) -> np.ndarray:
+        """forward() of one word of any length: only the sums of the last characters are held."""
+        last = [np.ones(self.probs.shape[1])]
+        log = np.zeros_like(last[0])
+        for j, steps in enumerate(self._steps(word), 1):
+            last = [*last[-MAX_PIECE + 1 :], sum(last[-size] * self.probs[row] for size, row in steps)]
+            if j % 16 == 0:
+                log += np.log(last[-1])
+                last = [x / last[-1] for x in last]
+        return np.log(last[-1]) + log
+
+    def long_expected(self, word: str, counts: np.ndarray, expected: np.ndarray) -> None:
+        """Adds the pieces' expected counts in one word, with sums in logarithms both ways."""
+        steps = list(self._steps(word))
+        n = len(steps)
+        logs = np.log(self.probs)
+
+        def plus(terms):
+            top = np.max(terms, axis=0)
+            return top + np.log(np.exp(np.array(terms) - top).sum(axis=0))
+
+        alpha = [np.zeros(self.probs.shape[1])]
+        for found in steps:
+            alpha.append(plus([alpha[-size] + logs[row] for size, row in found]))
+        into: list[list] = [[] for _ in range(n + 1)]
+        beta = [np.zeros(0)] * (n + 1)
+        for j in range(n, -1, -1):
+            beta[j] = plus(into[j]) if j < n else np.zeros_like(alpha[0])
+            for size, row in steps[j - 1] if j else ():
+                value = logs[row] + beta[j]
+                into[j - size].append(value)
+                expected[row] += counts * np.exp(alpha[j - size] + value - alpha[n])
+
     def text_scores(self, texts: list[str | None]) -> list[np.ndarray | None]:
         """For each text the languages' logarithms, or None if it has no letter."""
         split = [_WORDS.findall(t.lower()) if t else [] for t in texts]
@@ -167,8 +221,9 @@ class Model:
         cache, own = self.cache, {}
         new = list({w for words in split for w in words if w not in cache})
         if new:
-            letters = [w for w in new if any(map(str.isalpha, w))]
-            scores = self.forward(letters)[0] if letters else np.zeros((0, len(self.langs)))
+            letters = sorted((w for w in new if any(map(str.isalpha, w))), key=len)
+            short = [w for w in letters if len(w) < LONG]
+            scores = [*(self.forward(short)[0] if short else ()), *map(self.long_word, letters[len(short) :])]
             first = len(cache) + 1
             need = first + len(new) + 1
             if need > len(self.rows):
@@ -191,7 +246,8 @@ class Model:
 def train(counts: dict[str, dict[str, int]], pieces: list[str], rounds: int = ROUNDS) -> Model:
     """counts: for each language, how often each word occurs."""
     langs = sorted(counts)
-    words = sorted({w for c in counts.values() for w in c if len(w) <= TRAIN_CHARS})
+    words = sorted({w for c in counts.values() for w in c if len(w) <= TRAIN_CHARS}, key=lambda w: (len(w), w))
+    short = [w for w in words if len(w) < LONG]
     n = np.array([[counts[g].get(w, 0) for g in langs] for w in words], float).reshape(len(words), len(langs))
     lookup = Pieces(pieces)
     probs = np.full((len(pieces) + 1, len(langs)), 1 / len(pieces))
@@ -199,8 +255,10 @@ def train(counts: dict[str, dict[str, int]], pieces: list[str], rounds: int = RO
     model = Model(langs, lookup, probs)
     for _ in range(rounds):
         seen = np.zeros_like(probs)
-        for at in range(0, len(words), 20_000):
-            seen += model.forward(words[at : at + 20_000], n[at : at + 20_000])[1]
+        for at in range(0, len(short), 20_000):
+            seen += model.forward(short[at : at + 20_000], n[at : at + 20_000])[1]
+        for w, c in zip(words[len(short) :], n[len(short) :]):
+            model.long_expected(w, c, seen)
         pooled = seen[:-1].sum(axis=1, keepdims=True) + 1e-3
         smooth = seen[:-1] + 20 * pooled / pooled.sum() + 1e-4
         model.probs = np.concatenate([smooth / smooth.sum(axis=0), np.full((1, len(langs)), UNKNOWN)])
@@ -217,7 +275,7 @@ def sample_words(docs: DataFrame, id_col: str, text_col: str, lang_col: str, sam
         docs[lang_col].alias("lang"), docs[id_col].alias("id"), F.xxhash64(docs[id_col], F.lit(11)).alias("r")
     )
     ids = bounded_sample(ids, "lang", "r", sample_rows).select("id").distinct()
-    chosen = docs.join(F.broadcast(ids), docs[id_col].eqNullSafe(ids["id"]), "left_semi")  # sample_rows for each language
+    chosen = docs.join(ids, docs[id_col].eqNullSafe(ids["id"]), "left_semi")  # sample_rows for each language
     chosen = chosen.filter(docs[lang_col].isNotNull()).select(docs[lang_col].alias("lang"), F.lower(docs[text_col]).alias("text"))
     word = F.explode(F.regexp_extract_all("text", F.lit(r"(\p{L}+)"), F.lit(0)))
     counted: dict[str, dict[str, int]] = {}

@@ -67,6 +67,43 @@ def test_forward_sums_all_segmentations(model):
         assert np.isfinite(row).all()
 
 
+def test_long_words_have_the_same_sums_and_expected_counts(model):
+    where = {p: i for i, p in enumerate(PIECES)}
+    rng = random.Random(3)
+    for n in (1, 2, 15, 16, 17, 40, 300, 4095, 4096, 4100, 9000):
+        word = "".join(rng.choice("theanderingsßü") for _ in range(n))
+        got = model.long_word(word)
+        if n <= 40:
+            assert np.allclose(got, [brute_log(word, model.probs[:, k], where) for k in range(2)])
+        assert np.allclose(got, model.forward([word])[0][0], rtol=1e-9)
+    for word in ("the", "q", "andherschein", "unglaublichkeiten"):
+        c = np.array([2.0, 3.0])
+        one, other = model.forward([word], c[None])[1], np.zeros_like(model.probs)
+        model.long_expected(word, c, other)
+        assert np.allclose(one, other)
+    long, other = "anderschein" * 90, np.zeros_like(model.probs)
+    model.long_expected(long, np.ones(2), other)
+    sizes = np.array([len(p) for p in PIECES] + [1])
+    assert np.allclose((other * sizes[:, None]).sum(axis=0), len(long) + 1)  # pieces cover the word once
+
+
+def test_predictions_and_scores_agree_with_brute_force(spark):
+    rows = [r[:3] for r in texts(60, 4)] + [(200, "x" * 50 + " der und", None), (201, "Sch", "en"), (202, "ß 12 the", None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = as_dict(lang_id.predict(df, MODEL))
+    counts = {}
+    for i, t, lang in rows:
+        if lang and zlib.crc32(str(i).encode()) % 4 != 2:
+            counts.setdefault(lang, Counter()).update(t.lower().split())
+    model, where = lang_id.train(counts, PIECES), {p: i for i, p in enumerate(PIECES)}
+    for i, t, _ in rows:
+        words = [w for w in t.lower().split() if w.isalpha()]
+        logs = [sum(brute_log(w, model.probs[:, k], where) for w in words) for k in range(2)]
+        best = max(range(2), key=lambda k: logs[k])
+        assert got[i]["lang_pred"] == model.langs[best]
+        assert abs(got[i]["score"] - 1 / sum(math.exp(x - logs[best]) for x in logs)) < 1e-9
+
+
 def test_training_makes_probabilities(model):
     assert np.allclose(model.probs[:-1].sum(axis=0), 1)
 
