@@ -541,8 +541,10 @@ def phonetic_fold(spark, sf):
     return t(spark, sf, "part").select("p_partkey", text.phonetic_fold(F.upper("p_name")).alias("dobrado"))
 
 
-@query()
+@query("""
+    SELECT p_partkey, 'ESCOLA MUNICIPAL ENSINO FUNDAMENTAL PROFESSORA ' || upper(p_name) || ' II' AS nome, upper(p_name) || ' II' AS nucleo, 'II' AS numeros FROM part""")
 def name_core(spark, sf):
+    """Letters joined and abbreviations written out, generic words dropped: the oracle has the rules' result for the fixed part."""
     d = t(spark, sf, "part").select("p_partkey", text.school_name(F.concat(F.lit("E M E F Profª "), F.col("p_name"), F.lit(" II"))).alias("nome"))
     return d.withColumns({"nucleo": text.name_core(F.col("nome")), "numeros": F.array_join(text.number_tokens(F.col("nome")), ",")})
 
@@ -771,6 +773,63 @@ def sex_gap(spark, sf):
     return model.sex_gap(c, ["k"], "sexo", "c_acctbal", "w").select("k", r("media_f").alias("media_f"), r("media_m").alias("media_m"))
 
 
+@query("""
+    WITH v AS (SELECT o_custkey::VARCHAR AS entidade_id, 'municipio' AS tipo, o_orderstatus AS recorte, 'premios' AS metrica, count(*)::DOUBLE AS valor, count(*) AS n FROM orders GROUP BY ALL
+               UNION ALL SELECT o_custkey::VARCHAR, 'municipio', o_orderstatus, 'total', round(sum(o_totalprice), 2), count(*) FROM orders GROUP BY ALL)
+    SELECT *, rank() OVER (PARTITION BY tipo, recorte, metrica ORDER BY valor DESC) AS posicao FROM v WHERE n >= 5""")
+def ranking_slices(spark, sf):
+    """Rankings by type, slice and metric; small cells are left out before they are ranked."""
+    o = t(spark, sf, "orders").groupBy(F.col("o_custkey").cast("string").alias("entidade_id"), F.col("o_orderstatus").alias("recorte"))
+    both = o.agg(F.count(F.lit(1)).alias("n"), r(F.sum("o_totalprice"), 2).alias("total")).withColumn("tipo", F.lit("municipio"))
+    part = lambda name, value: both.select("entidade_id", "tipo", "recorte", F.lit(name).alias("metrica"), value.alias("valor"), "n")
+    return model.ranking_table([part("premios", F.col("n").cast("double")), part("total", F.col("total"))], 5).withColumn("posicao", F.col("posicao").cast("long"))
+
+
+@query("""
+    SELECT o_orderstatus, max(year(o_orderdate)) AS ultimo, list_sort(list(DISTINCT year(o_orderdate))) AS anos FROM orders GROUP BY 1""")
+def reference_years(spark, sf):
+    return model.reference_years(t(spark, sf, "orders").select("o_orderstatus", year("o_orderdate").alias("ano")), "o_orderstatus")
+
+
+@query("""
+    WITH l AS (SELECT o_orderstatus AS link_status, CASE o_orderkey % 3 WHEN 0 THEN 1.0 WHEN 1 THEN 0.0 END AS c FROM orders WHERE o_orderkey % 10 = 0 AND o_orderstatus <> 'P'),
+    p AS (SELECT link_status, count(c) AS rotulados, avg(c) AS precisao FROM l GROUP BY 1),
+    s AS (SELECT o_orderstatus AS link_status, count(*) AS n_linhas FROM orders GROUP BY 1)
+    SELECT link_status, n_linhas, rotulados, round(precisao, 8) AS precisao,
+           round(sum(precisao * n_linhas) OVER () / sum(CASE WHEN precisao IS NOT NULL THEN n_linhas END) OVER (), 8) AS precisao_ponderada FROM s LEFT JOIN p USING (link_status)""")
+def link_precision_by_stratum(spark, sf):
+    """Right links in a labelled sample by status, and reweighted to the sizes of the strata; one stratum has no labels."""
+    o = t(spark, sf, "orders").select(F.col("o_orderstatus").alias("link_status"), "o_orderkey")
+    label = F.when(F.col("o_orderkey") % 3 == 0, "1").when(F.col("o_orderkey") % 3 == 1, " 0 ").otherwise(" ")
+    sample = o.filter((F.col("o_orderkey") % 10 == 0) & (F.col("link_status") != "P")).select("link_status", label.alias("correto"))
+    out = model.link_precision(sample, o.groupBy("link_status").agg(F.count(F.lit(1)).alias("n_linhas")))
+    return out.withColumns({"precisao": r("precisao", 8), "precisao_ponderada": r("precisao_ponderada", 8)})
+
+
+@query("""
+    WITH c AS (SELECT c_custkey::VARCHAR AS codigo, CASE WHEN c_acctbal > 0 THEN c_acctbal END AS valor, c_mktsegment AS grupo FROM customer),
+    k AS (SELECT *, CASE WHEN valor IS NOT NULL THEN rank() OVER (ORDER BY valor DESC NULLS LAST) END AS posicao FROM c)
+    SELECT codigo, valor, posicao FROM k WHERE grupo IN ('BUILDING', 'MACHINERY')""")
+def group_filter_keeps_rank(spark, sf):
+    c = t(spark, sf, "customer").select(F.col("c_custkey").cast("string").alias("codigo"), F.when(F.col("c_acctbal") > 0, F.col("c_acctbal")).alias("valor"), F.col("c_mktsegment").alias("grupo"))
+    out = serve.group_filter(c.drop("grupo"), c.select("codigo", "grupo"), ["BUILDING", "MACHINERY"])
+    return out.withColumn("posicao", F.col("posicao").cast("long"))
+
+
+@query(f"""
+    WITH a AS (SELECT c_name AS nome, c_custkey::VARCHAR AS aluno_key, ['Ouro', 'Prata', 'Bronze', 'Menção Honrosa'][o_orderkey % 4 + 1] AS medalha, year(o_orderdate)::INT AS ano,
+                      ['EM', 'EF2', 'superior'][o_orderkey % 3 + 1] AS etapa, o_orderkey FROM orders JOIN customer ON o_custkey = c_custkey)
+    SELECT o_orderkey, medalha, ano, etapa, upper(c[1:1]) || '.' || '#' || upper(substr(sha256('{_SALT}|' || c || '|' || aluno_key), 1, 6)) AS pseudonimo
+    FROM (SELECT *, nome AS c FROM a) WHERE medalha <> 'Menção Honrosa' AND (etapa NOT IN ('EM', 'superior') OR ano >= 1997)""")
+def medalist_list(spark, sf):
+    """Medalists that may still be shown, by pseudonym alone."""
+    pick = lambda names, n: F.element_at(F.array(*map(F.lit, names)), (F.col("o_orderkey") % n + 1).cast("int"))
+    o = t(spark, sf, "orders").join(t(spark, sf, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+    awards = o.select("o_orderkey", F.col("c_name").alias("nome"), F.col("c_custkey").cast("string").alias("aluno_key"), pick(["Ouro", "Prata", "Bronze", "Menção Honrosa"], 4).alias("medalha"),
+                      F.year("o_orderdate").alias("ano"), pick(["EM", "EF2", "superior"], 3).alias("etapa"), F.lit("sem nome").alias("escola"))
+    return serve.medalists(awards, 1998, _SALT).drop("escola")
+
+
 @query()
 def kmeans_profile(spark, sf):
     cols = ["medalhas", "c_acctbal", "ideb"]
