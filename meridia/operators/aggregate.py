@@ -8,6 +8,21 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Decimals that exact_mean takes in, and the size below which they are exact in a double.
+_DECIMALS, _EXACT = 10_000, 9e11
+
+
+def exact_mean(value: Column) -> Column:
+    """Mean of doubles of at most four decimals (amounts), summed as whole numbers.
+
+    So it doesn't depend on the order of rows, and groups of equal means tie wherever their rows lie. A group with
+    another value (more decimals, very large, not finite) has the plain mean."""
+    whole = F.when(F.abs(value) < _EXACT, F.rint(value * _DECIMALS)).cast("long")
+    fits = F.coalesce(F.bool_and(value.isNull() | F.coalesce(whole / _DECIMALS == value, F.lit(False))), F.lit(False))
+    total = F.sum(whole.cast("decimal(19,0)")).cast("double")
+    return F.when(fits, F.try_divide(total, F.count(value).cast("double") * _DECIMALS)).otherwise(F.avg(value))
+
+
 def percent(predicate: Column, where: Column | None = None) -> Column:
     """100 times the share of true; null predicates don't count, nor do rows outside ``where``."""
     value = predicate.cast("double")

@@ -666,7 +666,7 @@ _FEATURES = """
 
 
 def features(spark, sf) -> DataFrame:
-    o = t(spark, sf, "orders").groupBy("o_custkey").agg(F.count(F.lit(1)).alias("medalhas"), F.avg("o_totalprice").alias("ideb"), F.max("o_totalprice").alias("saeb"))
+    o = t(spark, sf, "orders").groupBy("o_custkey").agg(F.count(F.lit(1)).alias("medalhas"), ag.exact_mean(F.col("o_totalprice")).alias("ideb"), F.max("o_totalprice").alias("saeb"))
     c = t(spark, sf, "customer")
     out = c.join(o, c["c_custkey"] == o["o_custkey"], "left").select("c_custkey", "c_nationkey", "c_acctbal", F.coalesce("medalhas", F.lit(0)).alias("medalhas"), (F.abs("c_acctbal") * 10 + 1000).alias("populacao"), "ideb", "saeb")
     return out

@@ -119,3 +119,27 @@ def test_eligibility_stage_network(spark):
 def test_salt_must_be_long(spark):
     with pytest.raises(ValueError):
         domain.salted_hash("short", F.lit("x"))
+
+
+def test_exact_mean_is_the_same_in_any_order(spark):
+    """Means of equal amounts tie wherever their rows lie; other values have the plain mean."""
+    values = [0.1, 0.2, 0.3]
+    rows = [(g, v) for g in range(6) for v in (values[g % 3 :] + values[: g % 3])]
+    assert (0.1 + 0.2) + 0.3 != (0.2 + 0.3) + 0.1
+    df = spark.createDataFrame(rows, "g int, v double").coalesce(1)
+    got = {r.m for r in df.groupBy("g").agg(ag.exact_mean(F.col("v")).alias("m")).collect()}
+    assert got == {0.2}
+    odd = [(1, 0.12345), (1, 2.0), (2, float("nan")), (2, 1.0), (3, float("inf")), (3, 1.0), (4, 1e300), (4, None), (5, None), (6, -0.5), (6, None), (6, 0.25)]
+    got = {r.g: r.m for r in spark.createDataFrame(odd, "g int, v double").groupBy("g").agg(ag.exact_mean(F.col("v")).alias("m")).collect()}
+    assert got[1] == (0.12345 + 2.0) / 2 and got[2] != got[2] and got[3] == float("inf") and got[4] == 1e300 and got[5] is None and got[6] == -0.125
+
+
+def test_index_ties_customers_of_equal_means(spark, tmp_path):
+    from meridia.plans import queries
+
+    prices = [0.1, 0.2, 0.3]
+    spark.createDataFrame([(i, 1, 5.0) for i in range(3)], "c_custkey long, c_nationkey int, c_acctbal double").write.parquet(f"{tmp_path}/customer.parquet")
+    orders = [(i, v) for i in range(3) for v in prices[i:] + prices[:i]]
+    spark.createDataFrame(orders, "o_custkey long, o_totalprice double").coalesce(1).write.parquet(f"{tmp_path}/orders.parquet")
+    got = queries.index_composite(spark, str(tmp_path)).collect()
+    assert len(got) == 3 and len({r.indice for r in got}) == 1
