@@ -63,7 +63,7 @@ def city_year_cells(spark, sf) -> DataFrame:
         .join(t(spark, sf, "nation").select("n_nationkey", "n_name"), F.col("c_nationkey") == F.col("n_nationkey"))
     )
     ok = F.col("l_discount") > 0
-    return rows.groupBy("c_custkey", "n_name", year("o_orderdate").alias("ano")).agg(F.avg(F.when(ok, F.col("l_extendedprice"))).alias("media"), F.count(F.when(ok, 1)).alias("n"))
+    return rows.groupBy("c_custkey", "n_name", year("o_orderdate").alias("ano")).agg(ag.exact_mean(F.when(ok, F.col("l_extendedprice"))).alias("media"), F.count(F.when(ok, 1)).alias("n"))
 
 
 @query(f"""

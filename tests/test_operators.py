@@ -143,3 +143,19 @@ def test_index_ties_customers_of_equal_means(spark, tmp_path):
     spark.createDataFrame(orders, "o_custkey long, o_totalprice double").coalesce(1).write.parquet(f"{tmp_path}/orders.parquet")
     got = queries.index_composite(spark, str(tmp_path)).collect()
     assert len(got) == 3 and len({r.indice for r in got}) == 1
+
+
+def test_cells_of_equal_means_share_their_place(spark, tmp_path):
+    from datetime import datetime
+
+    from meridia.plans import queries
+
+    prices = [176.12, 746.07, 82.72, 334.33, 154.56, 649.38, 997.41, 589.16, 618.99, 854.06, 497.57, 275.2]
+    at = datetime(1997, 5, 5)
+    write = lambda rows, schema, name: spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{tmp_path}/{name}.parquet")
+    write([(1, "A")], "n_nationkey int, n_name string", "nation")
+    write([(i, 1) for i in range(3)], "c_custkey long, c_nationkey int", "customer")
+    write([(i, i, at) for i in range(3)], "o_orderkey long, o_custkey long, o_orderdate timestamp", "orders")
+    write([(i, v, 0.1) for i in range(3) for v in prices[i:] + prices[:i]], "l_orderkey long, l_extendedprice double, l_discount double", "lineitem")
+    got = queries.map_cells_state_year(spark, str(tmp_path)).collect()
+    assert [(r.posicao, r.total, r.n, r.valor) for r in got] == [(1, 3, 12, 497.964)] * 3
