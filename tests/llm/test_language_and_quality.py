@@ -228,6 +228,26 @@ def test_quality_keeps_clean_and_rejects_junk(spark):
     assert {r.doc_id for r in kept.collect()} == {i for i, r in got.items() if r["kept"]}
 
 
+def test_all_trusted_documents_are_learned_from(spark):
+    """Every one of 400 trusted documents of one language counts, in the model, the prior and the threshold."""
+    rng = random.Random(9)
+    rows = [(i, " ".join(rng.choice(["the", "of", "anin", "ou"]) for _ in range(4)), "en") for i in range(400)] + [(400, "zq ou", "en"), (401, None, "en")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    got = as_dict(quality.classify(docs, spark.createDataFrame([(i, 1, 0) for i in range(400)], "doc_id long, quality int, toxic int")))
+    p, s, cache = brute_kneser_ney([t for _, t, _ in rows[:400]]), quality.SYMBOLS, {}
+
+    def nll(t):
+        for c in (codes := quality.trigrams(t or "").tolist()):
+            if c not in cache:
+                cache[c] = -math.log(max(p(c // s**2, c // s % s, c % s), 1e-300))
+        return sum(cache[c] for c in codes)
+
+    prior = sum(nll(t) for _, t, _ in rows[:400]) / sum(len(t) for _, t, _ in rows[:400])
+    for i, t, _ in rows:
+        want = math.exp((nll(t) + 64 * prior) / (len(t or "") + 64))
+        assert abs(got[i]["perplexity"] - want) < 1e-9 * want
+
+
 def test_quality_without_labels_or_rows(spark, docs, empty):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     got = quality.classify(docs, none).collect()
