@@ -1,6 +1,8 @@
 """The pipeline's near dedup: groups of texts of similarity 0.8 in five-word shingles, found exactly.
 
-Fingerprints can't tell texts at that similarity apart, so the stage is an exact join of shingle sets. Sets are
+SimHash fingerprints of the texts' five-word shingles meet in the positional-byte index of operator 10; pairs that
+pass its count filter and differ in at most two bits are candidates, checked on their whole shingle sets. Fingerprints
+can't tell texts at that similarity apart, so an exact join of shingle sets gives the pairs that they miss. Sets are
 of 64-bit hashes; equal texts are one entry, whose id is a 64-bit hash of the text (a second hash
 keeps rows of other texts apart, if ever two share an id).
 
@@ -10,7 +12,7 @@ keeps rows of other texts apart, if ever two share an id).
 2. Two sets of the similarity share that part of each at least, so in a common order the first n - least + 1
    shingles of each, its prefix, hold a common one. Prefixes are dealt by shingle and sorted: one streaming
    pass pairs every entry of a posting with the posting's first, and writes the postings of several entries.
-3. Those pairs are counted on the whole sets; components of what is similar settle most postings. In the others,
+3. Those pairs, and the candidates of the fingerprints, are counted on the whole sets; components of what is similar settle most postings. In the others,
    of at most POSTING_CAP entries, all pairs of different components are counted. Longer ones meet a second
    hub, and what is left is compared block by block, so no posting makes all its pairs.
 
@@ -31,6 +33,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import simhash
 from .common import Scratch, materialize, row_key
 from .components import components
 
@@ -284,6 +287,19 @@ def similar_pairs(pairs: DataFrame, entries: DataFrame, similarity: float) -> Da
     return near.select("u", "v", "nu", "nv", "su", "sv").mapInArrow(run, "u long, v long")
 
 
+def fingerprint_pairs(texts: DataFrame, scratch: Scratch, words: int = WIDE_SHINGLE) -> DataFrame:
+    """Rows (u, v) of entries whose fingerprints agree or are linked by operator 10's index, a star for each fingerprint.
+
+    Candidates: whether the sets are similar is counted after."""
+    fps = scratch.keep(simhash.fingerprints(texts, "id", "text", words).select(F.col("doc_id").alias("id"), "fp").distinct(), "entry-fingerprints")
+    least = scratch.keep(fps.groupBy("fp").agg(F.min("id").alias("least")), "least-entries")
+    linked = simhash.links(least.select("fp"), scratch)
+    same = fps.join(least, "fp").filter("id <> least").select(F.col("least").alias("u"), F.col("id").alias("v"))
+    a, b = (least.select(F.col("fp").alias(x), F.col("least").alias(f"l{x}")) for x in "uv")
+    near = linked.join(a, "u").join(b, "v").select(F.least("lu", "lv").alias("u"), F.greatest("lu", "lv").alias("v"))
+    return scratch.keep(same.unionByName(near), "fingerprint-pairs")
+
+
 def _rooted(rows: DataFrame, links: DataFrame, scratch: Scratch) -> DataFrame:
     """rows of the postings (k, id, ...) with ``root``, without those postings that the links have joined."""
     roots = components(links)
@@ -340,7 +356,8 @@ def similar_links(texts: DataFrame, scratch: Scratch, similarity: float = SIMILA
     order = sc.broadcast(sketch(texts.select("id", "text"), lambda batches: (keys for found in _sets(batches) for _, keys in found)))
     met = scratch.keep(postings(prefixes(texts, order, similarity)), "postings")
     first = met.filter("id <> hub").filter(_possible(F.col("i"), F.col("n"), F.col("hub_i"), F.col("hub_n"), similarity))
-    first = scratch.keep(first.select(F.least("id", "hub").alias("u"), F.greatest("id", "hub").alias("v")).distinct(), "hub-pairs")
+    first = first.select(F.least("id", "hub").alias("u"), F.greatest("id", "hub").alias("v"))
+    first = scratch.keep(first.unionByName(fingerprint_pairs(texts, scratch)).distinct(), "first-pairs")
     links = scratch.keep(similar_pairs(first, whole_sets(texts, _ends(first).distinct()), similarity), "links")
     mixed = _rooted(met.select("k", "id", "n", "i"), links, scratch)
     listed = mixed.filter(f"c <= {cap}").groupBy("k").agg(F.sort_array(F.collect_list(F.struct("id", "n", "i", "root"))).alias("l"))  # cap entries at most

@@ -15,7 +15,8 @@ changes of them, and two of them meet under one such entry if and only if they d
 in at most two bits; an entry holds 33 at most, and a star to the least of them links them.
 Components of the links come from large-star and small-star steps.
 
-The pipeline's stage takes similarity 0.8 in five-word shingles, which fingerprints can't tell: see shingle_join.
+The pipeline's stage takes similarity 0.8 in five-word shingles: it has the links of this index, and those that
+fingerprints can't tell from an exact join (see shingle_join).
 
 Defined results: null text has no words; documents without words have fingerprint zero
 and link like any other; component_id is the smallest doc_id, null ones aside; repeated

@@ -176,3 +176,31 @@ def test_a_text_of_a_million_words():
     a, b = shingle_join.shingle_keys(" ".join(w)), shingle_join.shingle_keys(" ".join(w[500_000:]))
     assert len(a) == 999_996 and set(b.tolist()) <= set(a.tolist())
     assert len(shingle_join.shingle_keys("x" * 10_000_000 + " y")) == 1
+
+
+def test_the_fingerprint_index_gives_candidates_and_sets_decide(spark, monkeypatch):
+    """Near copies within two bits are dropped by the index alone; close fingerprints of other texts link nothing."""
+    from meridia.llm import simhash
+
+    rng = random.Random(12)
+    base = [words_of(rng, 1500) for _ in range(6)]
+    texts = [" ".join(b) for b in base] + [" ".join([*b[:700], w, *b[701:]]) for b in base for w in words_of(rng, 3)] + ["a b c d e", "a b c d e f g h"]
+    fp = [simhash.fingerprint(t, shingle_join.WIDE_SHINGLE) for t in texts]
+    close = {(i, j) for j in range(len(texts)) for i in range(j) if ((fp[i] ^ fp[j]) & (2**64 - 1)).bit_count() <= 2}
+    assert len(close) > 6
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id long, text string").repartition(3)
+    with Scratch(spark) as scratch:
+        pairs = {(r.u, r.v) for r in shingle_join.fingerprint_pairs(df, scratch).collect()}
+    assert pairs <= close
+    root = list(range(len(texts)))
+    for i, j in sorted(pairs):
+        a, b = root[i], root[j]
+        root = [min(a, b) if x in (a, b) else x for x in root]
+    assert all(root[i] == root[j] for i, j in close)
+
+    every = shingle_join.postings
+    monkeypatch.setattr(shingle_join, "postings", lambda index: every(index).limit(0))  # no exact join: the index alone
+    got = groups_of(spark, texts)
+    brute = brute_groups(texts)
+    assert all((got[i] == got[j]) <= (brute[i] == brute[j]) for j in range(len(texts)) for i in range(j))
+    assert sum(got[i] != i for i in got) >= 6
