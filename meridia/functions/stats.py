@@ -144,10 +144,11 @@ def goodness(y: np.ndarray, predicted: np.ndarray) -> dict:
     }
 
 
-def davies_bouldin(points: np.ndarray, labels: np.ndarray) -> float:
+def davies_bouldin(points: np.ndarray, labels: np.ndarray, weights: np.ndarray | None = None) -> float:
     names = np.unique(labels)
-    centres = np.array([points[labels == c].mean(axis=0) for c in names])
-    spread = np.array([np.linalg.norm(points[labels == c] - m, axis=1).mean() for c, m in zip(names, centres)])
+    mean = lambda values, c: np.average(values, axis=0, weights=None if weights is None else weights[labels == c])
+    centres = np.array([mean(points[labels == c], c) for c in names])
+    spread = np.array([mean(np.linalg.norm(points[labels == c] - m, axis=1), c) for c, m in zip(names, centres)])
     apart = np.linalg.norm(centres[:, None] - centres[None], axis=2)
     np.fill_diagonal(apart, np.inf)
     return float(((spread[:, None] + spread[None]) / apart).max(axis=1).mean())
@@ -170,3 +171,32 @@ def silhouette(points: np.ndarray, labels: np.ndarray, block: int = 512) -> floa
         score = np.where(size[own] > 1, (outer - inner) / np.maximum(np.maximum(inner, outer), 1e-300), 0.0)
         out.append(score)
     return float(np.concatenate(out).mean())
+
+
+def silhouette_total(points: np.ndarray, weights: np.ndarray, labels: np.ndarray, rows: np.ndarray, block: int = 256, wide: int = 4096) -> float:
+    """Sum of the Euclidean silhouettes of distinct points ``rows``, each counted ``weights`` times, against all points.
+
+    Tiles of block x wide distances, whatever the number of points."""
+    names, at = np.unique(labels, return_inverse=True)
+    member = np.zeros((len(points), len(names)))
+    member[np.arange(len(points)), at] = weights
+    size, columns = member.sum(axis=0), np.ascontiguousarray(points.T)
+    total = 0.0
+    for lo in range(0, len(rows), block):
+        some = rows[lo : lo + block]
+        sums = np.zeros((len(some), len(names)))
+        for x in range(0, len(points), wide):
+            d = np.zeros((len(some), min(wide, len(points) - x)))
+            for c in columns:
+                gap = c[some][:, None] - c[None, x : x + wide]
+                gap *= gap
+                d += gap
+            sums += np.sqrt(d, out=d) @ member[x : x + wide]
+        own, here = at[some], np.arange(len(some))
+        inner = sums[here, own] / np.maximum(size[own] - 1, 1)
+        means = sums / size
+        means[here, own] = np.inf
+        outer = means.min(axis=1)
+        score = np.where(size[own] > 1, (outer - inner) / np.maximum(np.maximum(inner, outer), 1e-300), 0.0)
+        total += float((score * weights[some]).sum())
+    return total

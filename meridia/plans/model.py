@@ -151,27 +151,49 @@ def link_precision(labelled: DataFrame, strata: DataFrame) -> DataFrame:
 def kmeans(df: DataFrame, entity: str, features: list[str], ks: tuple[int, ...] = tuple(range(3, 9)), seed: int = 42, restarts: int = 10):
     """(rows with cluster, table of k with silhouette and Davies-Bouldin). The best k has the largest silhouette.
 
-    Fitting is distributed; the two indices need all pairs and run on the driver, so give them
-    entities by the thousand, not micro rows."""
+    Fitting is distributed. Equal rows are one point with a weight; the distinct points are sent to all tasks, which
+    measure their share of the rows against all others. So the silhouette is exact, its work grows with the square of the distinct points."""
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.feature import StandardScaler, VectorAssembler
     from pyspark.ml.functions import vector_to_array
 
+    spark = df.sparkSession
     rows = df.dropna(subset=features)
     vec = VectorAssembler(inputCols=features, outputCol="__raw").transform(rows)
     scaled = StandardScaler(inputCol="__raw", outputCol="__v", withMean=True).fit(vec).transform(vec).persist()
-    best, table = None, []
+    found, every = {}, scaled
     for k in ks:
         models = [KMeans(k=k, seed=seed + r, featuresCol="__v", predictionCol="cluster").fit(scaled) for r in range(restarts)]
-        model = min(models, key=lambda m: m.summary.trainingCost)
-        got = model.transform(scaled).select("cluster", vector_to_array("__v").alias("v")).toPandas()
-        points, labels = np.stack(got["v"].to_numpy()), got["cluster"].to_numpy()
-        row = (k, stats.silhouette(points, labels), stats.davies_bouldin(points, labels))
-        table.append(row)
-        if best is None or row[1] > best[0]:
-            best = (row[1], model)
-    out = best[1].transform(scaled).drop("__raw", "__v")
-    return out, df.sparkSession.createDataFrame([(int(a), float(b), float(c)) for a, b, c in table], "k int, silhueta double, davies_bouldin double")
+        found[k] = min(models, key=lambda m: m.summary.trainingCost)
+        every = found[k].transform(every).withColumnRenamed("cluster", f"__k{k}")
+    place = [vector_to_array("__v")[i].alias(f"__p{i}") for i in range(len(features))]
+    names = [f"__k{k}" for k in ks]
+    got = every.select(*place, *names).groupBy(*[f"__p{i}" for i in range(len(features))], *names).agg(F.count(F.lit(1)).alias("__w")).toArrow()
+    points = np.column_stack([got[f"__p{i}"].to_numpy() for i in range(len(features))])
+    weights, labels = got["__w"].to_numpy().astype(float), {k: got[f"__k{k}"].to_numpy() for k in ks}
+    silhouettes = _silhouettes(spark, points, weights, labels)
+    table = [(k, silhouettes[k], stats.davies_bouldin(points, labels[k], weights)) for k in ks]
+    best = found[max(ks, key=lambda k: silhouettes[k])]
+    out = best.transform(scaled).drop("__raw", "__v")
+    return out, spark.createDataFrame([(int(a), float(b), float(c)) for a, b, c in table], "k int, silhueta double, davies_bouldin double")
+
+
+def _silhouettes(spark, points: np.ndarray, weights: np.ndarray, labels: dict[int, np.ndarray]) -> dict[int, float]:
+    """Mean silhouette of each labelling; tasks take the points by their number."""
+    import pyarrow as pa
+
+    sent = spark.sparkContext.broadcast((points, weights, labels))
+
+    def measure(batches):
+        every, weight, by = sent.value
+        for batch in batches:
+            mine = batch.column(0).to_numpy()
+            sums = [stats.silhouette_total(every, weight, by[k], mine) for k in by]
+            yield pa.RecordBatch.from_arrays([pa.array(list(by), pa.int32()), pa.array(sums, pa.float64())], ["k", "s"])
+
+    tasks = max(1, min(len(points) // 512, 8 * spark.sparkContext.defaultParallelism))
+    sums = spark.range(0, len(points), 1, tasks).mapInArrow(measure, "k int, s double").groupBy("k").agg(F.sum("s")).collect()
+    return {k: s / weights.sum() for k, s in sums}
 
 
 def cluster_profile(df: DataFrame, features: list[str], cut: float = 0.5) -> DataFrame:

@@ -272,3 +272,20 @@ def test_socioeconomic_cells(spark, cities):
     assert got[("municipio", "EF2", "3500001")] == (None, None, True)
     latest = serve.latest_by_priority(spark.createDataFrame([("a", 2021, 1.0), ("a", 2023, None), ("a", 2019, 3.0)], "k string, ano int, v double"), "k", "v").first()
     assert latest.v == 1.0
+
+
+def test_kmeans_indices_are_exact_without_all_pairs_at_the_driver(spark, monkeypatch):
+    rng = np.random.RandomState(2)
+    points = np.concatenate([rng.normal(m, 1.0, (60, 2)) for m in (0, 6, 13)])
+    points = np.concatenate([points, points[:50], points[:20]])  # copies count each
+    df = spark.createDataFrame([(i, float(a), float(b)) for i, (a, b) in enumerate(points)], "i int, a double, b double").repartition(3)
+    whole = stats.silhouette
+    monkeypatch.setattr(stats, "silhouette", None)
+    rows, table = model.kmeans(df, "i", ["a", "b"], ks=(3, 2), restarts=2)
+    got = rows.orderBy("i").toPandas()
+    scaled = (points - points.mean(axis=0)) / points.std(axis=0, ddof=1)
+    labels = got["cluster"].to_numpy()
+    best = max(table.collect(), key=lambda r: r.silhueta)
+    assert len(got) == len(points) and best.k == len(set(labels)) == 3
+    assert abs(best.silhueta - whole(scaled, labels)) < 1e-9
+    assert abs(best.davies_bouldin - stats.davies_bouldin(scaled, labels)) < 1e-9
