@@ -173,30 +173,142 @@ def silhouette(points: np.ndarray, labels: np.ndarray, block: int = 512) -> floa
     return float(np.concatenate(out).mean())
 
 
-def silhouette_total(points: np.ndarray, weights: np.ndarray, labels: np.ndarray, rows: np.ndarray, block: int = 256, wide: int = 4096) -> float:
-    """Sum of the Euclidean silhouettes of distinct points ``rows``, each counted ``weights`` times, against all points.
+class Places:
+    """Distinct weighted points in the order of a balanced tree, and sums of distances from them to the clusters of labellings.
 
-    Tiles of block x wide distances, whatever the number of points."""
-    names, at = np.unique(labels, return_inverse=True)
-    member = np.zeros((len(points), len(names)))
-    member[np.arange(len(points)), at] = weights
-    size, columns = member.sum(axis=0), np.ascontiguousarray(points.T)
-    total = 0.0
-    for lo in range(0, len(rows), block):
-        some = rows[lo : lo + block]
-        sums = np.zeros((len(some), len(names)))
-        for x in range(0, len(points), wide):
-            d = np.zeros((len(some), min(wide, len(points) - x)))
-            for c in columns:
-                gap = c[some][:, None] - c[None, x : x + wide]
-                gap *= gap
-                d += gap
-            sums += np.sqrt(d, out=d) @ member[x : x + wide]
-        own, here = at[some], np.arange(len(some))
-        inner = sums[here, own] / np.maximum(size[own] - 1, 1)
-        means = sums / size
-        means[here, own] = np.inf
-        outer = means.min(axis=1)
-        score = np.where(size[own] > 1, (outer - inner) / np.maximum(np.maximum(inner, outer), 1e-300), 0.0)
-        total += float((score * weights[some]).sum())
-    return total
+    Level l has 2**l nodes of equal size, halved across their widest side. Node j of level l holds the points from
+    ``(j * n) >> l``. The moments of each cluster in a node bound its sum of distances to points far from it."""
+
+    #: points of a leaf, at most
+    LEAF = 128
+    #: maxima of the third and fourth coefficient of sqrt(1 - 2tu + t**2) in t; later ones are smaller
+    THIRD, FOURTH = 1 / (3 * np.sqrt(3)), 1 / 8
+
+    def __init__(self, points: np.ndarray, weights: np.ndarray, labels: dict[int, np.ndarray]):
+        n, self.dims = points.shape
+        self.levels = max(0, int(np.ceil(np.log2(max(n, 1) / self.LEAF))))
+        order, at = np.arange(n), np.zeros(n, int)
+        for level in range(self.levels):
+            starts, here = self._starts(n, level)[:-1], points[order]
+            wide = (np.maximum.reduceat(here, starts) - np.minimum.reduceat(here, starts)).argmax(axis=1)
+            order = order[np.lexsort((here[np.arange(n), wide[at]], at))]
+            at = np.repeat(np.arange(2 << level), np.diff(self._starts(n, level + 1)))
+        self.points, self.weights = points[order], weights[order]
+        self.own, self.size, self.ks = {}, [], list(labels)
+        for k, label in labels.items():
+            names, own = np.unique(label[order], return_inverse=True)
+            self.own[k] = own + sum(map(len, self.size))
+            self.size.append(np.bincount(own, self.weights, len(names)))
+        self.spans = {k: slice(sum(map(len, self.size[:i])), sum(map(len, self.size[: i + 1]))) for i, k in enumerate(self.ks)}
+        self.size = np.concatenate(self.size)
+
+    @staticmethod
+    def _starts(n: int, level: int) -> np.ndarray:
+        return (np.arange((1 << level) + 1) * n) >> level
+
+    def blocks(self) -> int:
+        return 1 << self.levels
+
+    def rows(self, block: int) -> slice:
+        """The points of a leaf."""
+        return slice((block * len(self.points)) >> self.levels, ((block + 1) * len(self.points)) >> self.levels)
+
+    def grow(self) -> "Places":
+        """Add the nodes' centres, radii and moments."""
+        self.centre, self.radius, self.moments = [], [], []
+        pairs = [(a, b) for a in range(self.dims) for b in range(a, self.dims)]
+        for level in range(self.levels + 1):
+            starts = self._starts(len(self.points), level)
+            at = np.repeat(np.arange(1 << level), np.diff(starts))
+            centre = np.add.reduceat(self.points, starts[:-1]) / np.diff(starts)[:, None]
+            gap = self.points - centre[at]
+            far = np.sqrt((gap**2).sum(axis=1))
+            terms = [np.ones(len(at)), *gap.T, *[gap[:, a] * gap[:, b] * (1 if a == b else 2) for a, b in pairs], far**2, far**3, far**4]
+            moments = np.empty((len(terms), 1 << level, len(self.size)))
+            for k, span in self.spans.items():
+                clusters = span.stop - span.start
+                cell = at * clusters + self.own[k] - span.start
+                for i, term in enumerate(terms):
+                    moments[i, :, span] = np.bincount(cell, self.weights * term, clusters << level).reshape(-1, clusters)
+            self.centre.append(centre)
+            self.radius.append(np.maximum.reduceat(far, starts[:-1]))
+            self.moments.append(moments)
+        return self
+
+    def direct(self, rows: slice, others: np.ndarray, wide: int = 1024) -> np.ndarray:
+        """Sums of distances of the leaf ``rows`` to it and the points ``others`` by cluster.
+
+        Squares are taken apart about the leaf's mean, so near points keep their digits; in the leaf itself they are of differences."""
+        here = self.points[rows]
+        centre = here.mean(axis=0)
+        here = here - centre
+        left = np.column_stack([-2 * here, (here**2).sum(axis=1), np.ones(len(here))])
+        out = np.sqrt(((here[:, None] - here) ** 2).sum(axis=2)) @ self._member(np.arange(rows.start, rows.stop))
+        others = others[(others < rows.start) | (others >= rows.stop)]
+        for x in range(0, len(others), wide):
+            some = others[x : x + wide]
+            there = (self.points[some] - centre).T
+            d = left @ np.vstack([there, np.ones(len(some)), (there**2).sum(axis=0)])
+            out += np.sqrt(np.maximum(d, 0, out=d), out=d) @ self._member(some)
+        return out
+
+    def _member(self, some: np.ndarray) -> np.ndarray:
+        """Weights of points in the clusters of all labellings."""
+        out = np.zeros((len(some), len(self.size)))
+        for own in self.own.values():
+            out[np.arange(len(some)), own[some]] = self.weights[some]
+        return out
+
+    def bounds(self, block: int, theta: float) -> tuple[np.ndarray, np.ndarray]:
+        """(sums of distances by cluster of the rows of a leaf, the largest error of those).
+
+        Nodes within ``theta`` times their distance in radius are taken by their moments up to the second; leaves nearer than that point by point."""
+        rows = self.rows(block)
+        here, centre, reach = self.points[rows], self.centre[-1][block], self.radius[-1][block]
+        total, error = np.zeros((len(here), len(self.size))), np.zeros((len(here), len(self.size)))
+        open_ = np.zeros(1, int)
+        for level in range(self.levels + 1):
+            apart = np.sqrt(((self.centre[level][open_] - centre) ** 2).sum(axis=1)) - reach
+            taken = self.radius[level][open_] < theta * apart
+            if taken.any():
+                self._by_moments(here, level, open_[taken], total, error)
+            open_ = open_[~taken]
+            if level < self.levels:
+                open_ = np.concatenate([2 * open_, 2 * open_ + 1])
+        near = np.concatenate([np.arange(self.rows(j).start, self.rows(j).stop) for j in np.sort(open_)])
+        return total + self.direct(rows, near), error
+
+    def _by_moments(self, here, level, nodes, total, error):
+        m = self.moments[level][:, nodes]
+        gap = here[:, None] - self.centre[level][nodes]
+        r = np.sqrt((gap**2).sum(axis=2))
+        gap /= r[..., None]
+        total += r @ m[0]
+        for a in range(self.dims):
+            total -= gap[..., a] @ m[1 + a]
+        half, i = 0.5 / r, 1 + self.dims
+        for a in range(self.dims):
+            for b in range(a, self.dims):
+                total -= (gap[..., a] * gap[..., b] * half) @ m[i]
+                i += 1
+        total += half @ m[i]
+        near = 1 - self.radius[level][nodes] / r
+        error += self.THIRD * ((1 / r**2) @ m[i + 1]) + self.FOURTH * ((1 / (r**3 * near)) @ m[i + 2])
+
+    def scores(self, rows: slice, sums: np.ndarray, error: np.ndarray | float = 0.0) -> list[tuple[int, float, float]]:
+        """(k, least, largest sum of the rows' silhouettes) for sums that are off by at most ``error``."""
+        out, here, weights = [], np.arange(rows.stop - rows.start), self.weights[rows]
+        low, high = np.maximum(sums - error, 0), sums + error
+        for k, span in self.spans.items():
+            own = self.own[k][rows]
+            some = self.size[own] > 1
+            ends = []
+            for inner, outer in ((high, low), (low, high)):
+                a = inner[here, own] / np.maximum(self.size[own] - 1, 1)
+                means = outer / self.size
+                means[here, own] = np.inf
+                b = means[:, span].min(axis=1)
+                score = np.where(some, (b - a) / np.maximum(np.maximum(a, b), 1e-300), 0.0)
+                ends.append(float((score * weights).sum()))
+            out.append((k, *ends))
+        return out

@@ -148,22 +148,28 @@ def link_precision(labelled: DataFrame, strata: DataFrame) -> DataFrame:
     return joined.withColumn("precisao_ponderada", weighted)
 
 
+#: Below so many distinct points silhouettes are measured at once; above, k is first chosen by bounds.
+_FEW_POINTS = 20_000
+
+
 def kmeans(df: DataFrame, entity: str, features: list[str], ks: tuple[int, ...] = tuple(range(3, 9)), seed: int = 42, restarts: int = 10):
     """(rows with cluster, table of k with silhouette and Davies-Bouldin). The best k has the largest silhouette.
 
     Fitting is distributed. Equal rows are one point with a weight; the distinct points are sent to all tasks, which
-    measure their share of the rows against all others. So the silhouette is exact, its work grows with the square of the distinct points."""
+    measure their share. The table's silhouettes are exact, which takes all pairs of distinct points: of many points they are
+    measured when the table is read. The best k takes bounds on them, made narrower until one k is above all others."""
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.feature import StandardScaler, VectorAssembler
     from pyspark.ml.functions import vector_to_array
 
     spark = df.sparkSession
-    rows = df.dropna(subset=features)
+    # by number, as narrow rows would be put together in few partitions and fitted on few cores; in order, so that reruns start alike
+    rows = df.dropna(subset=features).repartition(spark.sparkContext.defaultParallelism, entity).sortWithinPartitions(entity)
     vec = VectorAssembler(inputCols=features, outputCol="__raw").transform(rows)
     scaled = StandardScaler(inputCol="__raw", outputCol="__v", withMean=True).fit(vec).transform(vec).persist()
-    found, every = {}, scaled
+    found, every, fitted = {}, scaled, scaled.select("__v")  # not the stored table itself, so that a fit keeps the norms
     for k in ks:
-        models = [KMeans(k=k, seed=seed + r, featuresCol="__v", predictionCol="cluster").fit(scaled) for r in range(restarts)]
+        models = [KMeans(k=k, seed=seed + r, featuresCol="__v", predictionCol="cluster").fit(fitted) for r in range(restarts)]
         found[k] = min(models, key=lambda m: m.summary.trainingCost)
         every = found[k].transform(every).withColumnRenamed("cluster", f"__k{k}")
     place = [vector_to_array("__v")[i].alias(f"__p{i}") for i in range(len(features))]
@@ -171,29 +177,48 @@ def kmeans(df: DataFrame, entity: str, features: list[str], ks: tuple[int, ...]
     got = every.select(*place, *names).groupBy(*[f"__p{i}" for i in range(len(features))], *names).agg(F.count(F.lit(1)).alias("__w")).toArrow()
     points = np.column_stack([got[f"__p{i}"].to_numpy() for i in range(len(features))])
     weights, labels = got["__w"].to_numpy().astype(float), {k: got[f"__k{k}"].to_numpy() for k in ks}
-    silhouettes = _silhouettes(spark, points, weights, labels)
-    table = [(k, silhouettes[k], stats.davies_bouldin(points, labels[k], weights)) for k in ks]
-    best = found[max(ks, key=lambda k: silhouettes[k])]
-    out = best.transform(scaled).drop("__raw", "__v")
-    return out, spark.createDataFrame([(int(a), float(b), float(c)) for a, b, c in table], "k int, silhueta double, davies_bouldin double")
+    best, silhouettes = _best(spark, stats.Places(points, weights, labels))
+    other = spark.createDataFrame([(int(k), stats.davies_bouldin(points, labels[k], weights)) for k in ks], "k int, davies_bouldin double")
+    table = silhouettes.join(F.broadcast(other), "k").select("k", "silhueta", "davies_bouldin")
+    return found[best].transform(scaled).drop("__raw", "__v"), table
 
 
-def _silhouettes(spark, points: np.ndarray, weights: np.ndarray, labels: dict[int, np.ndarray]) -> dict[int, float]:
-    """Mean silhouette of each labelling; tasks take the points by their number."""
-    import pyarrow as pa
+def _best(spark, places: stats.Places) -> tuple[int, DataFrame]:
+    """(the k of the largest silhouette, the first of equal ones; exact rows k, silhueta)."""
+    many = len(places.points) > _FEW_POINTS
+    sent = spark.sparkContext.broadcast(places.grow() if many else places)
+    exact = _silhouettes(spark, sent).select("k", F.col("low").alias("silhueta"))
+    if many:
+        for theta in (0.4, 0.2, 0.1):
+            ends = {r.k: r for r in _silhouettes(spark, sent, theta).collect()}
+            best = max(places.ks, key=lambda k: ends[k].low)
+            if all(ends[best].low - 1e-9 > ends[k].high for k in places.ks if k != best):
+                return best, exact
+    found = _all_pairs(exact)
+    return max(places.ks, key=lambda k: found[k]), spark.createDataFrame(list(found.items()), "k int, silhueta double")
+
 
-    sent = spark.sparkContext.broadcast((points, weights, labels))
+def _all_pairs(exact: DataFrame) -> dict[int, float]:
+    return {r.k: r.silhueta for r in exact.collect()}
+
+
+def _silhouettes(spark, sent, theta: float | None = None) -> DataFrame:
+    """Rows (k, low, high): bounds of each labelling's mean silhouette, equal and exact without ``theta``. Tasks take leaves of the places sent."""
+    import pyarrow as pa
 
     def measure(batches):
-        every, weight, by = sent.value
+        p = sent.value
         for batch in batches:
-            mine = batch.column(0).to_numpy()
-            sums = [stats.silhouette_total(every, weight, by[k], mine) for k in by]
-            yield pa.RecordBatch.from_arrays([pa.array(list(by), pa.int32()), pa.array(sums, pa.float64())], ["k", "s"])
-
-    tasks = max(1, min(len(points) // 512, 8 * spark.sparkContext.defaultParallelism))
-    sums = spark.range(0, len(points), 1, tasks).mapInArrow(measure, "k int, s double").groupBy("k").agg(F.sum("s")).collect()
-    return {k: s / weights.sum() for k, s in sums}
+            for block in batch.column(0).to_pylist():
+                rows = p.rows(block)
+                out = p.scores(rows, p.direct(rows, np.arange(len(p.points)))) if theta is None else p.scores(rows, *p.bounds(block, theta))
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*out)], ["k", "low", "high"])
+
+    places = sent.value
+    tasks = min(places.blocks(), 4 * spark.sparkContext.defaultParallelism)
+    sums = spark.range(0, places.blocks(), 1, tasks).mapInArrow(measure, "k long, low double, high double")
+    mean = lambda c: (F.sum(c) / float(places.weights.sum())).alias(c)
+    return sums.groupBy(F.col("k").cast("int").alias("k")).agg(mean("low"), mean("high"))
 
 
 def cluster_profile(df: DataFrame, features: list[str], cut: float = 0.5) -> DataFrame:

@@ -289,3 +289,62 @@ def test_kmeans_indices_are_exact_without_all_pairs_at_the_driver(spark, monkeyp
     assert len(got) == len(points) and best.k == len(set(labels)) == 3
     assert abs(best.silhueta - whole(scaled, labels)) < 1e-9
     assert abs(best.davies_bouldin - stats.davies_bouldin(scaled, labels)) < 1e-9
+
+
+def _blobs(n: int, dims: int, seed: int = 4):
+    rng = np.random.RandomState(seed)
+    points = np.concatenate([rng.normal(m, 1.0, (n // 3, dims)) for m in (0, 3, 7)])
+    labels = {3: np.repeat([0, 1, 2], n // 3), 2: np.repeat([4, 9, 9], n // 3)}
+    return points, rng.randint(1, 4, len(points)).astype(float), labels
+
+
+@pytest.mark.parametrize("dims", [1, 3, 5])
+def test_bounds_hold_the_exact_sums_of_distances(dims, monkeypatch):
+    monkeypatch.setattr(stats.Places, "LEAF", 16)
+    points, weights, labels = _blobs(1800, dims)
+    places = stats.Places(points, weights, labels).grow()
+    table = {k: np.array([0.0, 0.0, 0.0]) for k in labels}
+    widths = {0.4: [], 0.1: []}
+    for block in range(places.blocks()):
+        rows = places.rows(block)
+        d = np.sqrt(((places.points[rows, None] - places.points[None]) ** 2).sum(axis=2)) * places.weights
+        want = np.column_stack([d[:, places.own[k] == c].sum(axis=1) for k, span in places.spans.items() for c in range(span.start, span.stop)])
+        exact = places.direct(rows, np.arange(len(points)))
+        assert np.allclose(exact, want, rtol=1e-12)
+        for theta, widest in widths.items():
+            sums, error = places.bounds(block, theta)
+            assert (np.abs(sums - want) <= error + 1e-9 * want).all()
+            widest.append(error.max())
+        for (k, low, high), (_, least, most) in zip(places.scores(rows, exact), places.scores(rows, sums, error)):
+            assert low == high
+            table[k] += (least, low, most)
+    assert max(widths[0.1]) < max(widths[0.4])
+    copies = np.repeat(np.arange(len(points)), weights.astype(int))
+    for k, (least, exact, most) in table.items():
+        assert least - 1e-9 <= exact <= most + 1e-9
+        assert abs(exact / weights.sum() - stats.silhouette(points[copies], labels[k][copies])) < 1e-9
+
+
+def test_k_of_many_points_is_chosen_without_all_pairs(spark, monkeypatch):
+    """The table is measured when it is read; k is the same as by the table."""
+    points, _, _ = _blobs(3000, 2)
+    df = spark.createDataFrame([(i, float(a), float(b)) for i, (a, b) in enumerate(points)], "i int, a double, b double")
+    exact = []
+    inner = model._silhouettes
+    monkeypatch.setattr(model, "_FEW_POINTS", 100)
+    monkeypatch.setattr(model, "_silhouettes", lambda spark, sent, theta=None: exact.append(theta) or inner(spark, sent, theta))
+    monkeypatch.setattr(model, "_all_pairs", lambda *_: pytest.fail("all pairs were measured to choose k"))
+    rows, table = model.kmeans(df, "i", ["a", "b"], ks=(2, 3, 6), restarts=1)
+    assert 0.4 in exact and rows.count() == len(points)
+    best = max(table.collect(), key=lambda r: r.silhueta)
+    got = rows.orderBy("i").toPandas()["cluster"].to_numpy()
+    scaled = (points - points.mean(axis=0)) / points.std(axis=0, ddof=1)
+    assert best.k == len(set(got)) and abs(best.silhueta - stats.silhouette(scaled, got)) < 1e-9
+
+
+def test_k_that_bounds_leave_open_is_chosen_by_all_pairs(spark, monkeypatch):
+    points, weights, labels = _blobs(900, 2)
+    monkeypatch.setattr(model, "_FEW_POINTS", 100)
+    same = stats.Places(points, weights, {5: labels[3], 3: labels[3]})
+    best, rows = model._best(spark, same)
+    assert best == 5 and len({r.silhueta for r in rows.collect()}) == 1
